@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules
+from . import packing, quality_rules, secret_scan, warc
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_packing": packing.op6_packing,
+        "op8_warc": warc.op8_warc,
     }
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.oracle()}
+    return {"op2_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}
