@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secret_scan, warc
+from . import packing, quality_rules, secret_scan, substring_dedup, warc
 
 
 def queries():
@@ -11,8 +11,9 @@ def queries():
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_packing": packing.op6_packing,
         "op8_warc": warc.op8_warc,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle()}
+    return {"op2_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle(), "op9_substring_dedup": substring_dedup.oracle()}

@@ -121,44 +121,96 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n + 1 powers of an odd base modulo 2^64 and of its inverse; kept by the worker and grown as needed."""
+    state = worker_state("powers")
+    if seed not in state or len(state[seed][0]) <= n:
+        size = max(n + 1, 1 << 16)
+        base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & ((1 << 64) - 1) | 5
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            out = np.full(size, b, np.uint64)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        state[seed] = tuple(both)
+    up, down = state[seed]
+    return up[: n + 1], down[: n + 1]
+
+
 class Rolling:
     """Hashes of arbitrary stretches of one sequence, from prefix sums of a polynomial modulo 2^64.
 
     values are 64-bit numbers (mixed bytes or word hashes); a stretch's hash
-    depends on its values and their order alone. With `seed`, independent
-    families; two of them make 128 bits where a mistake must not happen.
+    depends on its values and their order alone. Each `seed` is an independent
+    family.
     """
 
     def __init__(self, values: np.ndarray, seed: int = 1):
         n = len(values)
-        base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & ((1 << 64) - 1) | 5
+        up, self.inverse = powers(seed, n)
         self.prefix = np.zeros(n + 1, np.uint64)
-        self.inverse = np.empty(n + 1, np.uint64)
-        powers = np.full(n + 1, base, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        np.cumsum(values * powers[:n], out=self.prefix[1:])
-        self.inverse[:] = np.uint64(pow(base, -1, 1 << 64))
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
+        np.cumsum(values * up[:n], out=self.prefix[1:])
 
     def of(self, starts: np.ndarray, lengths) -> np.ndarray:
         """Mixed hashes of [start, start + length)."""
         return mix((self.prefix[starts + lengths] - self.prefix[starts]) * self.inverse[starts])
 
+    def windows(self, n: int) -> np.ndarray:
+        """Mixed hashes of all windows of n values."""
+        k = len(self.prefix) - n
+        return mix((self.prefix[n:] - self.prefix[:k]) * self.inverse[:k]) if k > 0 else np.zeros(0, np.uint64)
+
 
 def byte_values(seed: int) -> np.ndarray:
     """256 fixed random numbers, one a byte value."""
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    rolling = Rolling(byte_values(seed)[data], seed)
-    return rolling.of(starts, ends - starts) if len(starts) else np.zeros(0, np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, worked out over about `most` bytes at a time."""
+    out, values, a = np.zeros(len(starts), np.uint64), byte_values(seed), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + most)))
+        low = starts[a]
+        out[a:b] = Rolling(values[data[low : ends[b - 1]]], seed).of(starts[a:b] - low, ends[a:b] - starts[a:b])
+        a = b
+    return out
+
+
+def in_pieces(documents: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(piece, doc_id, text): each document in one of n pieces by its id; rows without an id are spread by their text."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    df = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(F.pmod(key, F.lit(n)).cast("int").alias("piece"), "doc_id", "text")
+
+
+def ordered(table: pa.Table) -> pa.Table:
+    """The rows of a piece by doc_id, so that every stage sees them in the same order."""
+    return table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
+def bucket_of(high: np.ndarray, n: int) -> np.ndarray:
+    """One of n buckets from a hash's upper 32 bits."""
+    return ((high >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def by_bucket(buckets: np.ndarray):
+    """(order, [(bucket, first, last)]): a stable order by bucket and each bucket's stretch of it."""
+    order = np.argsort(buckets, kind="stable")
+    cut = buckets[order]
+    at = np.flatnonzero(np.diff(cut, prepend=-1))
+    return order, list(zip(cut[at].tolist(), at.tolist(), [*at[1:].tolist(), len(cut)]))
+
+
+def member_of(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
+    return sorted_set[at] == values
 
 
-def pieces(spark: SparkSession, documents: DataFrame, text: str, bytes_each: int = 8 << 20) -> int:
+def pieces(spark: SparkSession, documents: DataFrame, text: str, bytes_each: int = 6 << 20) -> int:
     """How many pieces of about `bytes_each` bytes the texts make: grows with the input, at least the session's partitions."""
     total = documents.select(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_each))
