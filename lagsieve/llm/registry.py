@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secret_scan, substring_dedup, warc
+from . import ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, warc
 
 
 def queries():
@@ -11,9 +11,10 @@ def queries():
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_packing": packing.op6_packing,
         "op8_warc": warc.op8_warc,
+        "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 
 def oracle_sql():
-    return {"op2_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle(), "op9_substring_dedup": substring_dedup.oracle()}
+    return {"op10_ngram_jaccard": ngram_jaccard.oracle(), "op2_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle(), "op9_substring_dedup": substring_dedup.oracle()}
