@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, warc
+from . import ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_packing": packing.op6_packing,
         "op8_warc": warc.op8_warc,
