@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
+from . import ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_packing": packing.op6_packing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_warc": warc.op8_warc,
         "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
