@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
+from . import decontamination, ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def queries():
     return {
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_secret_scan": secret_scan.op5_secret_scan,
         "op6_packing": packing.op6_packing,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_ngram_jaccard": ngram_jaccard.oracle(), "op2_quality_rules": quality_rules.oracle(), "op8_warc": warc.oracle(), "op9_substring_dedup": substring_dedup.oracle()}
+    return {"op10_ngram_jaccard": ngram_jaccard.oracle(), "op2_quality_rules": quality_rules.oracle(), "op3_decontamination": decontamination.oracle(), "op8_warc": warc.oracle(), "op9_substring_dedup": substring_dedup.oracle()}
