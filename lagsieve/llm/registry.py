@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, toxicity, warc
+from . import decontamination, ngram_jaccard, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
