@@ -239,8 +239,8 @@ def remainder(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, held_out, score) a row; learns from labels whose id's remainder isn't 1."""
+def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score) and the columns to keep (as a struct `kept`) a row; learns from labels whose id's remainder isn't 1."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(remainder("id") != 1)
     known = runtime.written(known, "labels")
@@ -254,9 +254,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     points = statistics(sample, tables[1:]).toPandas()
     x = np.where(points["fold"] == 0, points["x1"], points["x0"])  # by the other fold's counts
     intercept, slope = fit_curve(x.astype(float), points["toxic"].to_numpy().astype(float))
-    scored = statistics(docs, tables[:1])
+    passed = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    scored = statistics(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *passed), tables[:1])
     score = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("x0"))))
-    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), score.alias("score"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), score.alias("score"), *([F.struct(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept")] if keep else []))
 
 
 def op7_toxicity(spark, sf_dir):
