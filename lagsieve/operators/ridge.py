@@ -31,11 +31,11 @@ def path_p1(rows: DataFrame, alphas, keys=("ch",)) -> DataFrame:
 def path_p2(rows: DataFrame, alphas, keys=("ch",)) -> DataFrame:
     """(keys, alpha_idx, alpha, b1, b2, intercept) of y on x1 and x2, by the 2 x 2 normal equations."""
     s = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("x1", "x2", "y")], F.var_pop("x1").alias("a"), F.var_pop("x2").alias("c"),
-        F.covar_pop("x1", "x2").alias("b"), F.covar_pop("x1", "y").alias("p"), F.covar_pop("x2", "y").alias("q"),
+        F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("x1", "x2", "y")], F.var_pop("x1").alias("s11"), F.var_pop("x2").alias("s22"),
+        F.covar_pop("x1", "x2").alias("s12"), F.covar_pop("x1", "y").alias("s1y"), F.covar_pop("x2", "y").alias("s2y"),
     )
     g = grid(s, alphas)
-    a, b, c, p, q = (F.col("n") * F.col(k) for k in "abcpq")
+    a, b, c, p, q = (F.col("n") * F.col(k) for k in ("s11", "s12", "s22", "s1y", "s2y"))
     a, c = a + F.col("alpha"), c + F.col("alpha")
     det = a * c - b * b
     g = g.withColumns({"b1": (c * p - b * q) / det, "b2": (a * q - b * p) / det})
