@@ -62,35 +62,40 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(value, item, least): each item's k smallest values, k by its size class, and the hits that a candidate needs."""
-    sized = items.select("item_id", F.expr(minhashes("text")).alias("v")).withColumn("n", F.size("v")).where("n > 0")
+    """(item_id, it, least, value): each item's k smallest values, k by its size class, and the hits that a candidate needs."""
+    sized = items.select("item_id", "it", F.expr(minhashes("text")).alias("v")).withColumn("n", F.size("v")).where("n > 0")
     largest = "(CAST(power(2, floor(log2(n)) + 1) AS INT) - 1)"
     sized = sized.withColumn("k", F.expr(f"least(n, {largest} * {100 - percent} DIV 100 + 1)"))
-    return sized.select("item_id", F.expr(f"CAST(k - n * {100 - percent} DIV 100 AS INT)").alias("least"), F.explode(F.expr("slice(array_sort(v), 1, k)")).alias("value"))
+    return sized.select("item_id", "it", F.expr(f"CAST(k - n * {100 - percent} DIV 100 AS INT)").alias("least"), F.explode(F.expr("slice(array_sort(v), 1, k)")).alias("value"))
 
 
 def contained(documents: DataFrame, items: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document and item with that much containment."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    items = items.distinct().withColumn("it", F.xxhash64("text"))  # an id with several texts is several items, the best of which counts
     # texts are known by 128 bits of hash, so that copies cost one verification
     keyed = docs.where("text IS NOT NULL").withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), F.col("text")))
     sketch = runtime.written(sketches(items, percent), "sketches")
     # a copy's values are the same, so each text's hits are counted over distinct values
     probes = keyed.select("t1", "t2", F.explode(F.expr(minhashes("text"))).alias("value"))
-    hits = probes.join(small(sketch), "value").groupBy("t1", "t2", "item_id", "value").agg(F.max("least").alias("least"))
-    candidates = hits.groupBy("t1", "t2", "item_id").agg(F.count("*").alias("hits"), F.max("least").alias("least")).where("hits >= least")
-    candidates = runtime.written(candidates.select("t1", "t2", "item_id"), "candidates")
+    hits = probes.join(small(sketch), "value").groupBy("t1", "t2", "item_id", "it", "value").agg(F.max("least").alias("least"))
+    candidates = hits.groupBy("t1", "t2", "item_id", "it").agg(F.count("*").alias("hits"), F.max("least").alias("least")).where("hits >= least")
+    candidates = runtime.written(candidates.select("t1", "t2", "item_id", "it"), "candidates")
     texts = small(candidates.select("t1", "t2").distinct())
     suspects = keyed.join(texts, ["t1", "t2"], "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"])
     found = suspects.select("t1", "t2", F.explode(F.expr(shingle_texts("text"))).alias("shingle"))
-    wanted = items.select("item_id", F.expr(shingle_texts("text")).alias("s")).select("item_id", F.size("s").cast("long").alias("n_item_shingles"), F.explode("s").alias("shingle"))
-    shared = found.join(small(runtime.written(wanted, "shingles")), "shingle").join(candidates.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), F.col("item_id").alias("ci")), (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & (F.col("item_id") == F.col("ci")), "left_semi")
-    verified = shared.groupBy("t1", "t2", "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.count("*").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item_shingles")
+    wanted = items.select("item_id", "it", F.expr(shingle_texts("text")).alias("s")).select("item_id", "it", F.size("s").cast("long").alias("n_item_shingles"), F.explode("s").alias("shingle"))
+    asked = candidates.withColumnsRenamed({c: f"c_{c}" for c in candidates.columns})
+    shared = found.join(small(runtime.written(wanted, "shingles")), "shingle")
+    # null ids are ids like others
+    shared = shared.join(asked, (F.col("t1") == F.col("c_t1")) & (F.col("t2") == F.col("c_t2")) & F.col("item_id").eqNullSafe(F.col("c_item_id")) & (F.col("it") == F.col("c_it")), "left_semi")
+    verified = shared.groupBy("t1", "t2", "item_id", "it").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.count("*").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item_shingles")
     verified = runtime.written(verified, "verified")
     pairs = keyed.select("doc_id", "t1", "t2").join(small(verified.withColumnsRenamed({"t1": "v1", "t2": "v2"})), (F.col("t1") == F.col("v1")) & (F.col("t2") == F.col("v2")))
-    out = pairs.groupBy("doc_id", "item_id").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.max("n_shared").alias("n_shared"))
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+    best = F.struct((F.col("n_shared") / F.col("n_item_shingles")).alias("containment"), "n_item_shingles", "n_shared")
+    out = pairs.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
+    return out.select("doc_id", "item_id", "b.n_item_shingles", "b.n_shared", "b.containment")
 
 
 def op3_decontamination(spark, sf_dir):
