@@ -6,7 +6,7 @@ the fill level that makes the sum of squared counts of partially filled
 windows smallest (ties: the fullest level). The counts stand in a level array
 of `window` entries, so memory doesn't grow with the input. At the end of a
 task the windows still open are closed: the emptiest are dealt out, cut where
-need be, into the gaps of the fullest, so at most one window of a task has
+need be, into the gaps of the fullest, so that one window of a task at most has
 padding.
 
 Null and empty texts are a document of the end id alone. Repeated rows are
@@ -147,11 +147,11 @@ class Packer:
             self.by_level.setdefault(fill, []).append(number)
 
     def close(self) -> None:
-        """Deal the emptiest open windows out into the gaps of the fullest."""
+        """Deal the emptiest open windows out into the gaps of the fullest; what is left over fills one more."""
         order = sorted(self.open.items(), key=lambda kv: (-kv[1][0], kv[0]))
-        keep = -(-sum(f for _, (f, _) in order) // self.window)
-        donors = [p for _, (_, held) in order[keep:] for p in held]
-        for number, (fill, held) in order[:keep]:
+        full = sum(f for _, (f, _) in order) // self.window
+        donors = [p for _, (_, held) in order[full:] for p in held]
+        for number, (fill, held) in [*order[:full], *((n, (0, [])) for n, _ in order[full : full + 1])]:
             self.done += held
             while fill < self.window and donors:
                 doc, start, ids, total, _, _ = donors.pop()
