@@ -46,11 +46,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c != "text")
-    out = secret_scan.scan(docs, keep=others, redact=REDACTED)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = secret_scan.scan(docs, keep=tuple(docs.columns), redact=REDACTED)
+    columns = {c: F.col(f"kept.`{c}`") for c in docs.columns}
+    if "n_chars" in columns:
+        length = F.length("kept.text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(columns["n_chars"])
+    return out.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

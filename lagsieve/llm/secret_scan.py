@@ -99,7 +99,7 @@ class Scanner:
 
 
 def scan(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redact: str | None = None) -> DataFrame:
-    """doc_id and its spans, by start and kind; with `redact`, the columns of `keep` and the text with each span replaced."""
+    """doc_id and its spans, by start and kind; with `redact`, also a struct `kept` of the columns of `keep`, where the text has each span replaced."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
 
     def run(batches):
@@ -134,7 +134,7 @@ def scan(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tiktoken", pat
         return rows.select("doc_id", "_text").mapInArrow(run, SPANS)
     schema = f"{SPANS}, _text string" + "".join(f", _keep_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = rows.mapInArrow(run, schema)
-    return out.select(*["doc_id"][: id_col not in keep], "spans", F.col("_text").alias(text_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select("doc_id", "spans", F.struct(*[F.col("_text" if c == text_col else f"_keep_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept"))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
