@@ -14,8 +14,9 @@ ratios exceed `DECIDING` by, over its number of words plus `SMOOTH_WORDS`; a
 logistic curve turns it into a score from 0 to 1.
 
 Counts are taken over all labelled training rows, shuffled as partial sums,
-and compiled to log ratios by DataFrame operations. Only word beginnings that
-exceed the deciding ratio make up the scoring table. It is broadcast up to
+and compiled to log ratios bucket by bucket of word beginnings (the counts of
+histories up to `HEAD` bytes, bounded by the alphabet, go to all buckets). Only
+word beginnings that exceed the deciding ratio make up the scoring table. It is broadcast up to
 `TABLE_ROWS` rows; beyond that, words are joined with it instead. The curve is
 fitted on at most `CURVE_ROWS` labelled rows (those with the smallest hashes of
 their ids), each scored by counts of the other training fold.
@@ -105,29 +106,78 @@ def count(rows: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def compile_table(counts: DataFrame, ordinary: str, toxic: str) -> DataFrame:
-    """(node, ratio): word beginnings whose log ratio, or that of a beginning of theirs, exceeds the deciding one."""
-    masks = F.array(*[F.lit(signed(m)) for m in MASKS])
-    deep = counts.select("key", F.expr(ordinary).alias("n0"), F.expr(toxic).alias("n1")).where("n0 + n1 > 0")
-    levels = deep.select("n0", "n1", "key", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))).alias("level"))
-    node = F.col("key").bitwiseAND(F.element_at(masks, F.col("level") + 1))
-    parent = F.col("key").bitwiseAND(F.element_at(masks, F.col("level")))
-    levels = levels.select("level", node.alias("node"), parent.alias("parent"), "n0", "n1").where("level = 1 OR node <> parent")
-    nodes = levels.groupBy("node", "parent", "level").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # a word that ends here and one that goes on differ in their next symbol: both are children of the same history
-    sums = nodes.groupBy("parent", F.col("level").alias("level_p")).agg(
-        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count("*").alias("k")
-    ).withColumnRenamed("parent", "history")
-    joined = nodes.join(sums, (nodes.parent == sums.history) & (nodes.level == sums.level_p))
-    pool = (F.greatest(F.col("n0") + F.col("n1") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("k") / SYMBOLS) / (F.col("t0") + F.col("t1"))
-    p = [F.log((F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) + (STRENGTH + DISCOUNT * F.col(f"k{c}")) * pool) / (F.col(f"t{c}") + STRENGTH)) for c in (0, 1)]
-    steps = joined.select("node", "level", (p[1] - p[0]).alias("step"))
-    chain = steps.select("node", "level", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("at")).select("node", "at", F.col("node").bitwiseAND(F.element_at(masks, F.col("at") + 1)).alias("up"))
-    ups = steps.select(F.col("node").alias("up_"), F.col("level").alias("at_"), "step")
-    chain = chain.join(ups, (F.col("up") == F.col("up_")) & (F.col("at") == F.col("at_")))
-    rows = chain.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("steps"))
-    total = F.expr("aggregate(steps, struct(0D AS ratio, -1000D AS top), (a, x) -> struct(a.ratio + x.step AS ratio, greatest(a.top, a.ratio + x.step) AS top))")
-    return rows.select("node", total.alias("t")).where(F.col("t.top") > DECIDING).select("node", F.col("t.ratio").alias("ratio"))
+#: Histories of up to so many bytes are counted for all words at once; there are few of them, whatever the corpus.
+HEAD = 3
+#: Which counts are ordinary and toxic: of both training folds, of the first, of the second.
+VARIANTS = (((0, 2), (1, 3)), ((0,), (1,)), ((2,), (3,)))
+
+
+def climb(keys: np.ndarray, counts: np.ndarray, levels, ratio: np.ndarray, top: np.ndarray):
+    """Add the symbols of these levels to the log ratios of word beginnings.
+
+    keys are sorted; counts, ratio and top have a row for each count and
+    variant, a column for each key. ratio and top (the largest ratio on the
+    way) are updated. Gives (variant, node, ratio) of the nodes that have
+    counts and whose way exceeds the deciding ratio.
+    """
+    found = []
+    for level in levels:
+        at = np.flatnonzero(keys & np.uint64(0xFF << (64 - 8 * level)))
+        if not len(at):
+            continue
+        node = keys[at] & np.uint64(MASKS[level])
+        head = np.flatnonzero(np.diff(node, prepend=~node[:1]))
+        index = np.cumsum(np.diff(node, prepend=node[:1]) != 0)
+        history = node[head] & np.uint64(MASKS[level - 1])
+        first = np.flatnonzero(np.diff(history, prepend=~history[:1]))
+        up = np.cumsum(np.diff(history, prepend=history[:1]) != 0)
+        n = np.add.reduceat(counts[:, at], head, axis=1)
+        for v, (ordinary, toxic) in enumerate(VARIANTS):
+            c = np.stack([n[list(ordinary)].sum(0), n[list(toxic)].sum(0)])
+            both = c.sum(0)
+            total, kinds = np.add.reduceat(c, first, axis=1)[:, up], np.add.reduceat((c > 0).astype(np.int64), first, axis=1)[:, up]
+            kinds_both = np.add.reduceat((both > 0).astype(np.int64), first)[up]
+            pool = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kinds_both / SYMBOLS) / np.maximum(total.sum(0), 1)
+            p = (np.maximum(c - DISCOUNT, 0) + (STRENGTH + DISCOUNT * kinds) * pool) / (total + STRENGTH)
+            known = both > 0
+            step = np.where(known, np.log(np.where(known, p[1], 1)) - np.log(np.where(known, p[0], 1)), 0.0)
+            ratio[v, at] += step[index]
+            top[v, at] = np.maximum(top[v, at], ratio[v, at])
+            some = known & (top[v, at[head]] > DECIDING)
+            found.append((np.full(some.sum(), v, np.int32), node[head][some], ratio[v, at[head]][some]))
+    return found
+
+
+def rows_of(found) -> pa.Table:
+    variant, node, ratio = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int32, np.uint64, np.float64)))
+    return pa.table({"variant": pa.array(variant), "node": pa.array(node.view(np.int64)), "ratio": pa.array(ratio)})
+
+
+def compile_tables(counts: DataFrame) -> list[DataFrame]:
+    """For each variant (node, ratio): the word beginnings whose log ratio, or that of a beginning of theirs, exceeds the deciding one."""
+    spark = counts.sparkSession
+    head = F.col("key").bitwiseAND(F.lit(signed(MASKS[HEAD])))
+    heads = counts.groupBy(head.alias("key")).agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()
+    keys = heads.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, sums = keys[order], np.stack([heads.column(c).to_numpy()[order] for c in COUNTS]) if len(keys) else np.zeros((4, 0), np.int64)
+    ratio, top = np.zeros((len(VARIANTS), len(keys))), np.full((len(VARIANTS), len(keys)), -1e3)
+    upper = spark.createDataFrame(rows_of(climb(keys, sums, range(1, HEAD + 1), ratio, top)))
+    shared = spark.sparkContext.broadcast((keys, ratio, top))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // 500_000)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        sums = np.stack([table.column(c).to_numpy()[order] for c in COUNTS])
+        heads, ratio, top = shared.value
+        at = np.searchsorted(heads, keys & np.uint64(MASKS[HEAD]))
+        return rows_of(climb(keys, sums, range(HEAD + 1, DEPTH + 1), ratio[:, at].copy(), top[:, at].copy()))
+
+    lower = counts.groupBy(F.pmod(F.xxhash64(head), F.lit(n)).alias("bucket")).applyInArrow(run, "variant int, node long, ratio double")
+    table = runtime.written(upper.select("variant", "node", "ratio").unionByName(lower), "tables")
+    return [table.where(F.col("variant") == v).select("node", "ratio") for v in range(len(VARIANTS))]
 
 
 class Table:
@@ -248,7 +298,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     known = known.withColumn("fold", (remainder("id") / 2).cast("int"))
     rows = docs.join(F.broadcast(known) if n <= LABEL_ROWS else known, docs.doc_id == known.id).where("text IS NOT NULL")
     counts = runtime.written(count(rows.select("text", "toxic", "fold")), "counts")
-    tables = [runtime.written(compile_table(counts, o, t), "table") for o, t in (("a0 + b0", "a1 + b1"), ("a0", "a1"), ("b0", "b1"))]
+    tables = compile_tables(counts)
     chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(CURVE_ROWS)  # at most so many rows, the documented bound
     sample = docs.join(F.broadcast(chosen), docs.doc_id == chosen.id).select("toxic", "fold", "text")
     points = statistics(sample, tables[1:]).toPandas()
