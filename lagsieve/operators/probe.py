@@ -141,7 +141,8 @@ def deltas(panel: DataFrame, edges: DataFrame, splits: S.Splits, probe: Probe, b
                 rows = run_task(int(t.target), int(t.source), mode, np.asarray(t.zt, float), np.asarray(t.zs, float), others_, int(t.before) if grouped else 0, low, min(low + probe.slice, probe.B), splits, probe, parts, memory)
                 yield pd.DataFrame.from_records(list(rows), columns=[c.split()[0] for c in DELTAS.split(", ")])
 
-    return tasks.mapInPandas(run, DELTAS)
+    # pandas hands NaN over as null
+    return tasks.mapInPandas(run, DELTAS).withColumns({c: F.coalesce(c, F.lit(NAN)) for c in ("delta", "var_y", "sst", "max_abs_x", "norm_x")})
 
 
 def is_finite(c: Column) -> Column:

@@ -67,7 +67,7 @@ def scores(panel: DataFrame, splits: S.Splits, lookback: int, horizon: int, alph
                 out.append((t.target, t.source, K.residual_r2(resid["cert"], path.predict(x["cert"], alpha)), alpha, *(len(r) for r in resid.values())))
             yield pd.DataFrame.from_records(out, columns=[c.split()[0] for c in SCORES.split(", ")])
 
-    return tasks.mapInPandas(run, SCORES)
+    return tasks.mapInPandas(run, SCORES).withColumn("s_screen", F.coalesce("s_screen", F.lit(NAN)))  # pandas hands NaN over as null
 
 
 def screen(panel: DataFrame, splits: S.Splits, lookback: int, horizon: int, alphas, *, top: int = TOP, rule: str = "val_grid", chosen=None, most=None) -> DataFrame:
