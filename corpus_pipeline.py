@@ -33,10 +33,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_jaccard.jaccard_components(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs.doc_id == first._first).drop("_first").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    groups = runtime.written(ngram_jaccard.jaccard_components(docs), "groups")
+    # texts stay where they are: the ids to leave out go to them (by broadcast if they are few)
+    gone = runtime.written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(decontamination.small(gone), docs.doc_id == gone._gone, "left_anti")
+    again = runtime.written(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return kept
+    again = decontamination.small(again)
+    once = kept.join(again, kept.doc_id == again._again, "left_anti")
+    return once.unionByName(kept.join(again, kept.doc_id == again._again, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,17 @@ _LOWER[65:91] += 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, hash) of the distinct shingles, by document and hash."""
+    """(document number, hash) of the distinct shingles, by document and hash; worked out over about a megabyte at a time."""
+    parts = []
+    for a, b in runtime.slices(offsets, 1 << 20):
+        owner, hashes = shingles_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+        parts.append((owner + np.int32(a), hashes))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    return np.concatenate([o for o, _ in parts]), np.concatenate([h for _, h in parts])
+
+
+def shingles_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = runtime.word_spans(data, offsets)
     rolling = runtime.Rolling(runtime.word_hashes(_LOWER[data], starts, ends))
     counts = np.diff(first)
