@@ -84,6 +84,7 @@ def signatures(documents: DataFrame, n: int = SHINGLE) -> DataFrame:
                 np.add.at(d1, owner, h)
                 np.add.at(d2, owner, runtime.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a), pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "n_shingles", "d1", "d2"])
+            runtime.trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
@@ -248,10 +249,10 @@ def jaccard_components(documents: DataFrame, *, shingle: int = SHINGLE, percent:
                     out["prefix"].append(m - need + 1)
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "tokens": pa.array(out["tokens"], pa.binary()), "prefix": pa.array(out["prefix"], pa.int64())})
 
-    counted = docs.groupBy("piece").cogroup(reps.groupBy("piece")).applyInArrow(count, "bucket int, piece int, low binary, several binary")
-    replies = counted.groupBy("bucket").applyInArrow(frequent, "piece int, rep long, hits binary, weights binary")
+    counted = docs.groupBy("piece").cogroup(reps.groupBy("piece")).applyInArrow(runtime.lean_pair(count), "bucket int, piece int, low binary, several binary")
+    replies = counted.groupBy("bucket").applyInArrow(runtime.lean(frequent), "piece int, rep long, hits binary, weights binary")
     told = replies.unionByName(reps.select("piece", "rep"), allowMissingColumns=True)
-    alive = runtime.written(docs.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(survivors, "doc_id long, size long, tokens binary, prefix long"), "sets")
+    alive = runtime.written(docs.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(runtime.lean_pair(survivors), "doc_id long, size long, tokens binary, prefix long"), "sets")
     links = runtime.written(tree_join(alive, percent), "links")
     nodes = components(links, "links")
     labelled = classes.join(nodes, classes.rep == nodes.id, "left").select((F.col("d1") + F.lit(0)).alias("k1"), (F.col("d2") + F.lit(0)).alias("k2"), F.coalesce("component", "rep").alias("component"))
@@ -300,7 +301,7 @@ def tree_join(alive: DataFrame, percent: int) -> DataFrame:
                 b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.groupBy("k0", "k1", "k2").applyInArrow(join, EDGES)
+    return sets.groupBy("k0", "k1", "k2").applyInArrow(runtime.lean(join), EDGES)
 
 
 def op10_ngram_jaccard(spark, sf_dir):

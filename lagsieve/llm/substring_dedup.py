@@ -192,11 +192,11 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW, id_col: str =
             "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary()).cast(pa.string()),
         })
 
-    probes = docs.groupBy("piece").applyInArrow(probe, "bucket int, piece int, low binary, reference binary, several binary")
-    hits = probes.groupBy("bucket").applyInArrow(shared, HIT)
-    lookups = docs.groupBy("piece").cogroup(hits.groupBy("piece")).applyInArrow(extend, "bucket int, piece int, window binary, least binary, base long")
-    repeats = lookups.groupBy("bucket").applyInArrow(earlier, HIT)
-    return docs.groupBy("piece").cogroup(repeats.groupBy("piece")).applyInArrow(remove, OUT)
+    probes = docs.groupBy("piece").applyInArrow(runtime.lean(probe), "bucket int, piece int, low binary, reference binary, several binary")
+    hits = probes.groupBy("bucket").applyInArrow(runtime.lean(shared), HIT)
+    lookups = docs.groupBy("piece").cogroup(hits.groupBy("piece")).applyInArrow(runtime.lean_pair(extend), "bucket int, piece int, window binary, least binary, base long")
+    repeats = lookups.groupBy("bucket").applyInArrow(runtime.lean(earlier), HIT)
+    return docs.groupBy("piece").cogroup(repeats.groupBy("piece")).applyInArrow(runtime.lean_pair(remove), OUT)
 
 
 def found(hit: pa.Table) -> np.ndarray:

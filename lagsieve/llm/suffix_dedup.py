@@ -288,13 +288,13 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             kept.append(b"".join(raw[x:y] for x, y in zip([low, *[e for _, e in spans]], [*[s for s, _ in spans], high])))
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed": pa.array(removed, run), "kept": pa.array(kept, pa.binary())})
 
-    parses = docs.groupBy("piece").applyInArrow(parse, "bucket int, piece int, low binary, several binary")
-    twice = parses.groupBy("bucket").applyInArrow(repeated, HIT)
-    contexts = docs.groupBy("piece").cogroup(twice.groupBy("piece")).applyInArrow(extend, "bucket int, piece int, low binary, context binary, several binary")
-    marked = runtime.written(contexts.groupBy("bucket").applyInArrow(neighbours, HIT), "contexts")
-    compared = docs.groupBy("piece").cogroup(marked.groupBy("piece")).applyInArrow(strings, "bucket int, piece int, string binary, several binary")
-    same = compared.groupBy("bucket").applyInArrow(equal, HIT)
-    return docs.groupBy("piece").cogroup(marked.unionByName(same).groupBy("piece")).applyInArrow(remove, OUT)
+    parses = docs.groupBy("piece").applyInArrow(runtime.lean(parse), "bucket int, piece int, low binary, several binary")
+    twice = parses.groupBy("bucket").applyInArrow(runtime.lean(repeated), HIT)
+    contexts = docs.groupBy("piece").cogroup(twice.groupBy("piece")).applyInArrow(runtime.lean_pair(extend), "bucket int, piece int, low binary, context binary, several binary")
+    marked = runtime.written(contexts.groupBy("bucket").applyInArrow(runtime.lean(neighbours), HIT), "contexts")
+    compared = docs.groupBy("piece").cogroup(marked.groupBy("piece")).applyInArrow(runtime.lean_pair(strings), "bucket int, piece int, string binary, several binary")
+    same = compared.groupBy("bucket").applyInArrow(runtime.lean(equal), HIT)
+    return docs.groupBy("piece").cogroup(marked.unionByName(same).groupBy("piece")).applyInArrow(runtime.lean_pair(remove), OUT)
 
 
 def op4_suffix_dedup(spark, sf_dir):

@@ -231,6 +231,7 @@ def statistics(documents: DataFrame, tables: list[DataFrame]) -> DataFrame:
                     x = (sums[first[1:]] - sums[first[:-1]]) / (np.diff(first) + SMOOTH_WORDS)
                     columns.append(pa.array(x))
                 yield pa.RecordBatch.from_arrays(columns, names=[*rest, *[f"x{i}" for i in range(len(known))]])
+            runtime.trim()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text"), *(f"x{i} double" for i in range(len(tables)))])
     return documents.select(*rest, "text").mapInArrow(run, schema)
