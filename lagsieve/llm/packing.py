@@ -28,7 +28,7 @@ WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers; then it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 450_000
 
 
 #: A word of plain letters and then plain punctuation: two pre-tokens, unchanged by normalisation but for their case.
