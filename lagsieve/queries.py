@@ -166,7 +166,7 @@ def queries() -> dict:
         "spearman_pairs": r6(lambda s, d: X.spearman_pairs(zpanel(s, d))),
         "spearman_screen": r6(lambda s, d: X.spearman(order_edges(s, d), "p_value", "coherence_peak", ("target",))),
         "ks_uniform": r6(lambda s, d: X.ks_uniform(order_edges(s, d), ("target",))),
-        "ecdf": r6(lambda s, d: X.ecdf(order_edges(s, d).where("source % 10 = 1").withColumn("x_", F.col("p_value")), "x_", ("edge_type",))),
+        "ecdf": r6(lambda s, d: X.ecdf(order_edges(s, d).withColumn("x_", F.col("p_value")), "x_", ("edge_type",))),
         "recovery_summary": recovery,
         "top_rejected": r6(lambda s, d: X.top_rejected(order_edges(s, d))),
         "direction_asymmetry": r6(lambda s, d: X.asymmetry(shift_null(s, d))),

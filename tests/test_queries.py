@@ -33,6 +33,20 @@ def test_query_equals_its_sql(spark, db, name):
         assert same.all(), (c, a[~same].head(), b[~same].head())
 
 
+def test_ecdf_takes_every_order(spark, db):
+    """By brute force: each finite p-value of order_edges, whatever the last digit of its order."""
+    wanted, groups = [], {}
+    for (key,) in db.sql("SELECT o_orderkey FROM orders").fetchall():
+        if key % 101:
+            x = (key * 37 % 997 + 1) / 998.0
+            groups.setdefault(("TRUE", "NULL", "DECOY")[key % 3], []).append(x * x * x * x)
+    for kind, p in groups.items():
+        wanted += [(kind, x, (i + 1) / len(p)) for i, x in enumerate(sorted(p))]
+    mine = sorted(tuple(r) for r in core.queries()["ecdf"](spark, SF).select("edge_type", "x", "y").collect())
+    assert [r[0] for r in mine] == [r[0] for r in sorted(wanted)]
+    assert [x for r in mine for x in r[1:]] == pytest.approx([x for r in sorted(wanted) for x in r[1:]], abs=1e-6)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
