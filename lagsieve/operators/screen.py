@@ -17,6 +17,8 @@ from .probe import NAN, pairs
 from .series import series
 
 TOP = 4
+#: Channels a side of a block of pairs.
+BLOCK = 256
 SCORES = "target int, source int, s_screen double, alpha_screen double, n_train_fit int, n_val_alpha int, n_cert int"
 
 
@@ -84,3 +86,55 @@ def scores_p1(lags: DataFrame, splits: S.Splits, alphas) -> DataFrame:
     e = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
     s = cert.groupBy(*keys).agg(F.max("alpha").alias("alpha_screen"), F.sum(e * e).alias("sse"), F.sum(F.col("y") * F.col("y")).alias("sst"))
     return s.select(*keys, "alpha_screen", F.when(F.col("sst") <= 1e-12, F.lit(NAN)).otherwise(1 - F.col("sse") / F.when(F.col("sst") <= 1e-12, 1.0).otherwise(F.col("sst"))).alias("s_screen"))
+
+
+def wide_p1(lags: DataFrame, splits: S.Splits, alphas, *, top: int = TOP) -> DataFrame:
+    """(target, source, s_screen): scores_p1 of a wide, gap-free panel, for the `top` best sources of each target in each block of sources.
+
+    Every pair is scored, by matrix products over blocks of targets and sources; a target's best of all are among the best of its blocks.
+    """
+    roles = splits.roles()
+    first, end = roles["train_fit"].start, roles["cert"].end
+    resid = innovations_p1(lags, splits, alphas).select("ch", "u", F.col("resid").alias("v"), F.lit(0).alias("side"))
+    past = within(lags, S.Range(first, end)).select("ch", "u", F.col("x").alias("v"), F.lit(1).alias("side"))
+    whole = F.array_sort(F.collect_list(F.struct("u", "v")))
+    rows = resid.unionByName(past).groupBy("side", "ch").agg(whole.alias("r")).select("side", "ch", F.expr(f"CAST(ch DIV {BLOCK} AS INT)").alias("own"), F.col("r.u").alias("u"), F.col("r.v").alias("v"))
+    blocks = lags.select(F.expr(f"CAST(ch DIV {BLOCK} AS INT)").alias("other")).distinct()  # few next to the channels
+    tasks = rows.crossJoin(F.broadcast(blocks)).withColumns({"tb": F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), "sb": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))})
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        left, right = (block[block["side"] == k] for k in (0, 1))
+        u = np.asarray(block["u"].iloc[0])
+        y, x = (np.stack(part["v"].to_numpy()).astype(float) for part in (left, right))
+        target, source = left["ch"].to_numpy(), right["ch"].to_numpy()
+        score = best_p1(y, x, {name: (u >= r.start) & (u < r.end) for name, r in roles.items()}, alphas)
+        score[target[:, None] == source[None, :]] = NAN
+        # larger first, then by source; NaN passes no screen
+        by_source = np.argsort(source)
+        order = by_source[np.argsort(np.where(np.isnan(score), np.inf, -score)[:, by_source], axis=1, kind="stable")[:, :top]]
+        out = pd.DataFrame({"target": np.repeat(target, order.shape[1]), "source": source[order].ravel(), "s_screen": np.take_along_axis(score, order, axis=1).ravel()})
+        return out[out["s_screen"].notna()]
+
+    return tasks.select("tb", "sb", "side", "ch", "u", "v").groupBy("tb", "sb").applyInPandas(run, "target int, source int, s_screen double")
+
+
+def best_p1(y: np.ndarray, x: np.ndarray, rows: dict[str, np.ndarray], alphas) -> np.ndarray:
+    """R2, against zero, of each row of y on each row of x over the cert columns: ridge on the fit columns, the first alpha of least error on the alpha columns."""
+    fit, val, cert = (rows[k] for k in ("train_fit", "val_alpha", "cert"))
+    sst = (y[:, cert] ** 2).sum(axis=1)
+    # about the fit's means, so that the intercept is nothing
+    y, x = y - y[:, fit].mean(axis=1, keepdims=True), x - x[:, fit].mean(axis=1, keepdims=True)
+    sxx, sxy = (x[:, fit] ** 2).sum(axis=1), y[:, fit] @ x[:, fit].T
+
+    def sse(slope: np.ndarray, part: np.ndarray) -> np.ndarray:
+        a, b = y[:, part], x[:, part]
+        return (a * a).sum(axis=1)[:, None] - 2 * slope * (a @ b.T) + slope * slope * (b * b).sum(axis=1)
+
+    least, chosen_slope = np.full(sxy.shape, np.inf), np.zeros(sxy.shape)
+    for alpha in alphas:
+        slope = sxy / (sxx + alpha)
+        error = sse(slope, val)
+        better = error < least
+        least, chosen_slope = np.where(better, error, least), np.where(better, slope, chosen_slope)
+    safe = np.where(sst <= ridge.TINY, 1.0, sst)[:, None]
+    return np.where(sst[:, None] <= ridge.TINY, NAN, 1 - sse(chosen_slope, cert) / safe)

@@ -109,7 +109,7 @@ def long_design(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_design(spark: SparkSession, sf: str) -> DataFrame:
     d = L.design(zpanel(spark, sf), 2, 2)
-    pairs = L.with_sources(d.select("ch", "u", "y", "x").where("ch = 0"), d)
+    pairs = L.with_sources(d.select("ch", "u", "y", "x"), d)
     return rounded(L.features(L.within(pairs, SPLITS.cert), 2).select("target", "source", "u", "y", "feature", "value"))
 
 
@@ -176,7 +176,7 @@ def queries() -> dict:
         "screen": r6(lambda s, d: SC.screen(zpanel(s, d), SPLITS, 6, 1, ALPHAS)),
         "screen_users": r6(lambda s, d: screen_users(s, d)),
         "certify_pairwise_phase": r6(certified),
-        "certify_row_perm": r6(lambda s, d: P.certify(zpanel(s, d), P.pairs(zpanel(s, d)).where("target = 0"), SPLITS, J.probe_of(SMALL.with_(null_method="row_perm"), 9))),
+        "certify_row_perm": r6(lambda s, d: P.certify(zpanel(s, d), P.pairs(zpanel(s, d)), SPLITS, J.probe_of(SMALL.with_(null_method="row_perm"), 9))),
         "certify_group": r6(lambda s, d: J.screen_then_certify(zpanel(s, d), SPLITS, SMALL, top=2)["group"]),
         "screen_then_certify": r6(lambda s, d: J.screen_then_certify(zpanel(s, d), SPLITS, SMALL, top=2)["pairwise"]),
         "reference_pipeline": r6(lambda s, d: J.reference(zpanel(s, d), SPLITS, SMALL).drop("git_hash")),
@@ -187,16 +187,9 @@ def queries() -> dict:
 
 
 def screen_users(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide panel: top sources of the first five users, by one lag."""
+    """The wide panel: top sources of every user, by one lag."""
     rows = L.pair_lags(Z.scaled(sources.users_hourly(spark, sf, HOURS), SPLITS))
-    resid = I.innovations_p1(rows.where("ch < 5"), SPLITS, ALPHAS).select(F.col("ch").alias("target"), "u", F.col("resid").alias("y"))
-    both = resid.join(rows.select(F.col("ch").alias("source"), "u", "x"), "u").where("target <> source")
-    fits = R.fitted_p1(both, SPLITS, ALPHAS, ("target", "source"))
-    cert = L.within(both, SPLITS.cert).join(fits, ["target", "source"])
-    e = F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")
-    s = cert.groupBy("target", "source").agg(F.sum(e * e).alias("sse"), F.sum(F.col("y") * F.col("y")).alias("sst"))
-    scores = s.select("target", "source", F.when(F.col("sst") <= 1e-12, F.lit(float("nan"))).otherwise(1 - F.col("sse") / F.when(F.col("sst") <= 1e-12, 1.0).otherwise(F.col("sst"))).alias("s_screen"))
-    return SC.ranked(scores).where("passed_screen")
+    return SC.ranked(SC.wide_p1(rows, SPLITS, ALPHAS)).where("passed_screen")
 
 
 def calibration(spark: SparkSession, sf: str) -> DataFrame:

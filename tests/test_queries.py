@@ -7,7 +7,11 @@ import __spark_entry__ as entry
 from lagsieve import oracles
 from lagsieve import queries as core
 from lagsieve.config import load
+from lagsieve.operators import lagged as L
+from lagsieve.operators import scale as Z
+from lagsieve.operators import screen as SC
 from lagsieve.plans import pipelines as J
+from lagsieve.sources import panel as sources
 from lagsieve.sources import sinks
 from lagsieve.streaming import hourly
 
@@ -47,6 +51,40 @@ def test_ecdf_takes_every_order(spark, db):
     assert [x for r in mine for x in r[1:]] == pytest.approx([x for r in sorted(wanted) for x in r[1:]], abs=1e-6)
 
 
+def test_pair_queries_take_every_target(spark):
+    every = {(a, b) for a in range(5) for b in range(5) if a != b}
+    for name in ("own_source_design", "certify_row_perm"):
+        assert {tuple(r) for r in core.queries()[name](spark, SF).select("target", "source").distinct().collect()} == every
+
+
+def test_own_source_design_equals_brute_force(spark):
+    z = {(r["ch"], r["t"]): r["z"] for r in core.zpanel(spark, SF).collect()}
+    wanted = {}
+    for a in range(5):
+        for b in set(range(5)) - {a}:
+            for u in range(441, 552):
+                for k in (1, 2):
+                    wanted[a, b, u, f"own[{a}]_lag_{k}"] = (z[a, u], z[a, u - 1 - k])
+                    wanted[a, b, u, f"source_{b}[{b}]_lag_{k}"] = (z[a, u], z[b, u - 1 - k])
+    rows = core.queries()["own_source_design"](spark, SF).collect()
+    mine = {(r["target"], r["source"], r["u"], r["feature"]): (r["y"], r["value"]) for r in rows}
+    assert len(rows) == len(mine) and mine.keys() == wanted.keys()
+    assert all(mine[k] == pytest.approx(wanted[k], abs=1e-6) for k in wanted)
+
+
+def test_screen_users_takes_every_target(spark, monkeypatch):
+    """Against the one-lag screen of Catalyst over all pairs, also with several blocks."""
+    rows = L.pair_lags(Z.scaled(sources.users_hourly(spark, SF, core.HOURS), core.SPLITS))
+    wanted = SC.ranked(SC.scores_p1(rows, core.SPLITS, core.ALPHAS)).where("passed_screen").select("target", "source", "screen_rank", "s_screen").collect()
+    users = rows.select("ch").distinct().count()
+    assert len({r["target"] for r in wanted}) > 5
+    for block in (SC.BLOCK, users // 2):
+        monkeypatch.setattr(SC, "BLOCK", block)
+        mine = core.queries()["screen_users"](spark, SF).select("target", "source", "screen_rank", "s_screen").collect()
+        assert {tuple(r)[:3] for r in mine} == {tuple(r)[:3] for r in wanted}
+        assert [r["s_screen"] for r in sorted(mine)] == pytest.approx([r["s_screen"] for r in sorted(wanted)], abs=1e-6)
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
