@@ -4,7 +4,11 @@ A maximal run of 20 or more characters of `[A-Za-z0-9+/_=-]` is a candidate. It
 is random if a public byte-level vocabulary needs so many tokens for it that
 there are fewer than `ratio` characters a token. Known digests (hexadecimal of
 a digest's length, UUIDs) and identifiers (words and numbers joined by `_`, `-`
-or `/`, camel case, plain numbers) are not candidates.
+or `/`, camel case, plain numbers) are not candidates; a long word counts as one
+only if it has that many characters a token itself, so a run of one case is no
+identifier for its case. In a run that isn't random, what is left without the
+words at its ends is tested, and then each part of 20 characters between
+separators: words joined to a secret don't hide it.
 
 Offsets are code points, ends exclusive. One narrow Arrow stage: no shuffle.
 Null and empty texts have no spans. Repeated rows are scanned each; other
@@ -34,6 +38,10 @@ RATIO = 2.0
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
 IDENTIFIER = r"[_/+=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/+=-]+|$)|(?:[A-Z][a-z]{2,})+(?:[_/+=-]+|$))*"
+CAMEL = r"(?:[A-Z][a-z]{2,}){2,}"
+PART = rf"(?<![A-Za-z0-9]){UUID}(?![A-Za-z0-9])|[A-Za-z0-9]+"
+#: Letters of a word that must show by its tokens that it is one.
+LONG_WORD = 8
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -66,20 +74,44 @@ class Scanner:
         self.assign, self.access, self.hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(f"{HEX[:-1]}{{{LEAST['hex']},}}")
         self.run = re.compile(f"[A-Za-z0-9+/_=-]{{{LEAST['random']},}}")
         self.known = re.compile(rf"(?:{UUID}|{IDENTIFIER})\Z")
+        self.uuid, self.camel, self.part = re.compile(rf"{UUID}\Z"), re.compile(rf"{CAMEL}\Z"), re.compile(PART)
+        self.word = re.compile(f"[A-Za-z]{{{LONG_WORD},}}")
         self.digest = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
         self.hex_bytes = byte_class(b"0123456789abcdef")
         self.run_bytes = byte_class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 
-    def is_random(self, s: str) -> bool:
-        if self.digest.match(s) and len(s) in DIGEST_LENGTHS or self.known.match(s):
+    def is_known(self, s: str) -> bool:
+        """A digest, a UUID, or an identifier whose long words have the tokens of words."""
+        if self.digest.match(s) and len(s) in DIGEST_LENGTHS or self.uuid.match(s):
+            return True
+        if not self.known.match(s):
             return False
-        return len(s) < self.ratio * len(self.encode(s))
+        words = [w for w in self.word.findall(s) if not self.camel.match(w)]
+        return sum(map(len, words)) >= self.ratio * sum(len(self.encode(w)) for w in words)
+
+    def is_random(self, s: str) -> bool:
+        return not self.is_known(s) and len(s) < self.ratio * len(self.encode(s))
+
+    def random_spans(self, s: str, at: int) -> list[tuple[int, int]]:
+        """Of a run that starts at `at`: the whole, or what its outer words leave, or the parts between separators that are random."""
+        if self.is_random(s):
+            return [(at, at + len(s))]
+        parts = [m.span() for m in self.part.finditer(s)]
+        if len(parts) == 1 and parts[0] == (0, len(s)):
+            return []
+        inner = [not self.is_known(s[a:b]) for a, b in parts]
+        if True not in inner:
+            return []
+        a, b = parts[inner.index(True)][0], parts[len(parts) - 1 - inner[::-1].index(True)][1]
+        if b - a >= LEAST["random"] and self.is_random(s[a:b]):
+            return [(at + a, at + b)]
+        return [(at + a, at + b) for a, b in parts if b - a >= LEAST["random"] and self.is_random(s[a:b])]
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         out = [("assign", m.start(), m.end()) for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
         out += [("access", m.start(), m.end()) for m in self.access.finditer(text) if m.end() - m.start() >= LEAST["access"]]
         out += [("hex", m.start(), m.end()) for m in self.hex.finditer(text)]
-        out += [("random", m.start(), m.end()) for m in self.run.finditer(text) if self.is_random(m.group())]
+        out += [("random", a, b) for m in self.run.finditer(text) for a, b in self.random_spans(m.group(), m.start())]
         return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

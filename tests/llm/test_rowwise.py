@@ -1,7 +1,9 @@
 """Operators that judge each row by itself: counts, rules, secrets, packing."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +90,25 @@ def test_random_strings_but_not_digests_and_identifiers(spark):
     assert out == "random:0:24"
 
 
+def test_random_strings_of_one_case_and_behind_words(spark):
+    rng = random.Random(3)
+    make = lambda letters, n=24: "".join(rng.choices(letters, k=n))
+    both = string.ascii_letters + string.digits
+    cases = [(letters, n, before) for letters, n, before in ((string.ascii_lowercase, 32, ""), (string.ascii_uppercase, 32, ""), (both, 24, "/customers/invoices/download/"), (both, 24, "production_database_connection_"))]
+    rows, wanted = [], {}
+    for k, (letters, n, before) in enumerate(cases):
+        for i in range(50):
+            rows.append((100 * k + i, f"see {before}{make(letters, n)} here"))
+            wanted[100 * k + i] = (4 + len(before), 4 + len(before) + n)
+    plain = ["internationalization_characteristically", "/customers/invoices/download/2024/january/statement", "INTERNATIONALIZATIONSUPPORT", "SOME_UPPER_CASE_CONSTANT_NAME", "-" * 40, "users/0f8fad5b-d9cd-469f-a165-70867728950e/SomeLongIdentifierNameHere"]
+    rows += [(1000 + i, t) for i, t in enumerate(plain)]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    for k in range(len(cases)):
+        hit = [any(a <= wanted[i][0] and wanted[i][1] <= b for a, b in found[i]) for i in range(100 * k, 100 * k + 50)]
+        assert sum(hit) >= 45, cases[k]
+    assert [found[1000 + i] for i in range(len(plain))] == [[] for _ in plain]
+
+
 def test_redaction_keeps_rows_and_other_columns(spark):
     out = secret_scan.scan(frame(spark, SECRETS), keep=("source", "text", "spans"), redact="[X]")
     rows = dict(got(out.select("doc_id", F.col("kept.text").alias("text")), "doc_id", "text"))
