@@ -61,6 +61,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def text_hashes(text: str) -> dict:
+    """128 bits of hash of a text, as the columns t1 and t2."""
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(7), F.col(text))}
+
+
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(item_id, it, least, value): each item's k smallest values, k by its size class, and the hits that a candidate needs."""
     sized = items.select("item_id", "it", F.expr(minhashes("text")).alias("v")).withColumn("n", F.size("v")).where("n > 0")
@@ -69,13 +74,13 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sized.select("item_id", "it", F.expr(f"CAST(k - n * {100 - percent} DIV 100 AS INT)").alias("least"), F.explode(F.expr("slice(array_sort(v), 1, k)")).alias("value"))
 
 
-def contained(documents: DataFrame, items: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document and item with that much containment."""
+def leaks(documents: DataFrame, items: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, t1, t2, item_id, n_item_shingles, n_shared) of every row and item with that much containment; t1 and t2 are text_hashes."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
     items = items.distinct().withColumn("it", F.xxhash64("text"))  # an id with several texts is several items, the best of which counts
     # texts are known by 128 bits of hash, so that copies cost one verification
-    keyed = docs.where("text IS NOT NULL").withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), F.col("text")))
+    keyed = docs.where("text IS NOT NULL").withColumns(text_hashes("text"))
     sketch = runtime.written(sketches(items, percent), "sketches")
     # a copy's values are the same, so each text's hits are counted over distinct values
     probes = keyed.select("t1", "t2", F.explode(F.expr(minhashes("text"))).alias("value"))
@@ -93,8 +98,13 @@ def contained(documents: DataFrame, items: DataFrame, *, percent: int = PERCENT,
     verified = shared.groupBy("t1", "t2", "item_id", "it").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.count("*").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item_shingles")
     verified = runtime.written(verified, "verified")
     pairs = keyed.select("doc_id", "t1", "t2").join(small(verified.withColumnsRenamed({"t1": "v1", "t2": "v2"})), (F.col("t1") == F.col("v1")) & (F.col("t2") == F.col("v2")))
+    return pairs.select("doc_id", "t1", "t2", "item_id", "n_item_shingles", "n_shared")
+
+
+def contained(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared, containment) of every document and item with that much containment; options as for leaks."""
     best = F.struct((F.col("n_shared") / F.col("n_item_shingles")).alias("containment"), "n_item_shingles", "n_shared")
-    out = pairs.groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
+    out = leaks(documents, items, **options).groupBy("doc_id", "item_id").agg(F.max(best).alias("b"))
     return out.select("doc_id", "item_id", "b.n_item_shingles", "b.n_shared", "b.containment")
 
 

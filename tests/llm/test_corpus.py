@@ -183,3 +183,12 @@ def test_registry_names():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_pipeline_drops_leaked_rows_without_an_id(spark, tmp_path):
+    passage = dict(texts())[39]
+    items(spark, [(1, passage)]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"before {passage} after"), (None, "clean and without any id at all"), (None, None), (1, passage), (2, "clean with an id of its own")]
+    out = corpus_pipeline.decontamination_stage(spark, frame(spark, rows), str(tmp_path))
+    assert got(out, "doc_id", "text") == in_order([rows[1], rows[2], rows[4]])
+    assert out.columns == frame(spark, rows).columns
