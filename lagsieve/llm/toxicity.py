@@ -1,31 +1,40 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of words as sequences of symbols, one of toxic and one of ordinary
-labelled documents. Symbols are the first `DEPTH` bytes of the lower-cased word
-and its end. A symbol's probability after its history h is interpolated,
-
-    p_c(x | h) = (max(N_c(hx) - D, 0) + (S + D T_c(h)) p(x | h)) / (N_c(h) + S)
-
-where p(x | h) is the Kneser-Ney estimate from the counts of both classes
-together: the shared backoff, to which expressions that are rare in a class
-fall back in both models, so that they don't decide. A word's log ratio is the
-sum over its symbols. A document's statistic is the sum of what its words' log
-ratios exceed `DECIDING` by, over its number of words plus `SMOOTH_WORDS`; a
-logistic curve turns it into a score from 0 to 1.
-
-Counts are taken over all labelled training rows, shuffled as partial sums,
-and compiled to log ratios bucket by bucket of word beginnings (the counts of
-histories up to `HEAD` bytes, bounded by the alphabet, go to all buckets). Only
-word beginnings that exceed the deciding ratio make up the scoring table. It is broadcast up to
-`TABLE_ROWS` rows; beyond that, words are joined with it instead. The curve is
+labelled documents. Symbols are the bytes of the lower-cased word, all of them,
+and its end; the history h of a symbol x is the whole word before it. With the
+counts N_c of a class c, and the discount min(n, D) of a count n,
+
+    p_c(x | h) = (max(N_c(hx) - D, 0) + (S + sum of discounts) p(x | h)) / (N_c(h) + S)
+
+where p(x | h), the shared backoff, is the interpolated Kneser-Ney estimate
+from the counts of both classes together. It falls back from the whole history
+to the last two symbols and to none, where symbols are weighed by continuation
+counts: by how many different histories they follow. Expressions that are rare
+in both classes have the shared backoff in both models, so they don't decide:
+below a history that no class has more than D times, both models are the same,
+and nothing needs to be stored.
+
+Most words of a toxic document are ordinary. So a word's likelihood in it is
+(1 - MIX) p_0 + MIX p_1, and in any other document p_0. The statistic of a
+document is the difference of both log-likelihoods over its number of words
+plus `SMOOTH_WORDS`; every word counts, for either class. An isotonic curve,
+which a few odd labels don't bend elsewhere, turns it into a score from 0 to 1.
+
+Counts are taken over all labelled training rows and shuffled as partial sums;
+all that follows is joins of tables keyed by history, so nothing of them
+reaches the driver but the scoring table, which is broadcast up to `TABLE_ROWS`
+rows; beyond that, distinct words are joined with it instead. The curve is
 fitted on at most `CURVE_ROWS` labelled rows (those with the smallest hashes of
 their ids), each scored by counts of the other training fold.
 
 Null and empty texts, and texts without letters, have the statistic 0 and get
-the curve's score of it. Labels that are null, or of unknown documents, are
-not used; of several labels of a document, each counts. Without labels of both
-classes every score is the same. Repeated rows are scored each. Other columns,
-among them lang and source, are ignored.
+the curve's score of it. Very long texts are read in slices, very long words
+symbol by symbol; neither is cut. Labels that are null, or of unknown
+documents, are not used; of several labels of a document, each counts. Without
+labels of both classes every score is the same. Repeated rows are scored each;
+rows without a doc_id are scored, too. Other columns, among them lang and
+source, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,190 +42,183 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
 
-DEPTH = 8
-DISCOUNT, STRENGTH, SYMBOLS = 0.75, 10.0, 40.0
-DECIDING, SMOOTH_WORDS = 2.0, 20.0
+DISCOUNT, STRENGTH, SHARED_DISCOUNT = 3, 2.0, 0.75
+MIX, SMOOTH_WORDS = 0.002, 20.0
 TABLE_ROWS, LABEL_ROWS, CURVE_ROWS = 2_000_000, 2_000_000, 20_000
 THRESHOLD = 0.7
 COUNTS = ("a0", "a1", "b0", "b1")
+#: Which counts are ordinary and toxic: of both training folds, of the first, of the second.
+VARIANTS = ((("a0", "b0"), ("a1", "b1")), (("a0",), ("a1",)), (("b0",), ("b1",)))
 #: Letters as they are modelled: A-Z lower-cased, bytes of other letters as they are, all else parts words.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
-MASKS = [((1 << 64) - (1 << (64 - 8 * k))) & ((1 << 64) - 1) for k in range(DEPTH + 1)]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... sizes[0] - 1, 0, 1, ... sizes[1] - 1 and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+class Words:
+    """Words one after the other, each with the end mark (a space) behind it."""
 
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.full(int(self.sizes.sum()), 32, np.uint8)
+        inner = ranges(sizes)
+        self.data[np.repeat(self.starts, sizes) + inner] = data[np.repeat(starts, sizes) + inner]
+        self.rolling = runtime.Rolling(runtime.byte_values(11)[self.data], 11)
 
-def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the beginnings of all words as 8-byte numbers, each document's first word)."""
+    def node(self, which, length) -> np.ndarray:
+        """Hashes of the first `length` symbols of these words; 0 of none."""
+        return self.rolling.of(self.starts[which], length)
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(a slice's distinct words, which of them each of its words is, each document's first word)."""
     data = _LETTER[data]
     starts, ends, first = runtime.word_spans(data, offsets)
-    sizes = ends - starts
-    key = np.zeros(len(starts), np.uint64)
-    for j in range(DEPTH):
-        byte = np.where(j < sizes, data[np.minimum(starts + j, max(len(data) - 1, 0))], np.where(j == sizes, 32, 0)).astype(np.uint64)
-        key |= byte << np.uint64(56 - 8 * j)
-    return key, first
+    _, at, inverse = np.unique(runtime.word_hashes(data, starts, ends, 11), return_index=True, return_inverse=True)
+    return Words(data, starts[at], (ends - starts)[at]), inverse, first
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """Word beginnings of (text, toxic, fold) with their counts by fold and class."""
+    """Words of (text, toxic, fold) with their counts by fold and class."""
 
     def run(batches):
-        keys, sums, held = [], [], 0
-
-        def flush():
-            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros((4, len(every)), np.int64)
-            for c in range(4):
-                total[c] = np.bincount(inverse, np.concatenate([s[c] for s in sums]), len(every))
-            return every, total
-
         for batch in batches:
             data, offsets = runtime.text_arrays(batch.column(0))
             group = batch.column(1).to_numpy() + 2 * batch.column(2).to_numpy()
             for a, b in runtime.slices(offsets):
-                key, first = word_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                g = np.repeat(group[a:b], np.diff(first))
-                every, inverse = np.unique(key, return_inverse=True)
-                keys.append(every)
-                sums.append([np.bincount(inverse[g == c], minlength=len(every)) for c in range(4)])
-                held += len(every)
-                if held > 1_000_000:
-                    every, total = flush()
-                    keys, sums, held = [every], [list(total)], len(every)
-                    if held > 500_000:
-                        yield pa.record_batch({"key": pa.array(every.view(np.int64)), **{n: pa.array(total[c]) for c, n in enumerate(COUNTS)}})
-                        keys, sums, held = [], [], 0
-        if keys:
-            every, total = flush()
-            yield pa.record_batch({"key": pa.array(every.view(np.int64)), **{n: pa.array(total[c]) for c, n in enumerate(COUNTS)}})
-
-    found = rows.mapInArrow(run, "key long, a0 long, a1 long, b0 long, b1 long")
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
-
-
-#: Histories of up to so many bytes are counted for all words at once; there are few of them, whatever the corpus.
-HEAD = 3
-#: Which counts are ordinary and toxic: of both training folds, of the first, of the second.
-VARIANTS = (((0, 2), (1, 3)), ((0,), (1,)), ((2,), (3,)))
+                words, inverse, first = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                g, n = np.repeat(group[a:b], np.diff(first)), len(words.sizes)
+                edges = np.append(words.starts, len(words.data))
+                column = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(words.data)]).cast(pa.binary())
+                yield pa.record_batch({"word": column, **{c: pa.array(np.bincount(inverse[g == i], minlength=n)) for i, c in enumerate(COUNTS)}})
+            runtime.trim()
 
+    found = rows.mapInArrow(run, "word binary, a0 long, a1 long, b0 long, b1 long")
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
-def climb(keys: np.ndarray, counts: np.ndarray, levels, ratio: np.ndarray, top: np.ndarray):
-    """Add the symbols of these levels to the log ratios of word beginnings.
 
-    keys are sorted; counts, ratio and top have a row for each count and
-    variant, a column for each key. ratio and top (the largest ratio on the
-    way) are updated. Gives (variant, node, ratio) of the nodes that have
-    counts and whose way exceeds the deciding ratio.
-    """
-    found = []
-    for level in levels:
-        at = np.flatnonzero(keys & np.uint64(0xFF << (64 - 8 * level)))
-        if not len(at):
-            continue
-        node = keys[at] & np.uint64(MASKS[level])
-        head = np.flatnonzero(np.diff(node, prepend=~node[:1]))
-        index = np.cumsum(np.diff(node, prepend=node[:1]) != 0)
-        history = node[head] & np.uint64(MASKS[level - 1])
-        first = np.flatnonzero(np.diff(history, prepend=~history[:1]))
-        up = np.cumsum(np.diff(history, prepend=history[:1]) != 0)
-        n = np.add.reduceat(counts[:, at], head, axis=1)
-        for v, (ordinary, toxic) in enumerate(VARIANTS):
-            c = np.stack([n[list(ordinary)].sum(0), n[list(toxic)].sum(0)])
-            both = c.sum(0)
-            total, kinds = np.add.reduceat(c, first, axis=1)[:, up], np.add.reduceat((c > 0).astype(np.int64), first, axis=1)[:, up]
-            kinds_both = np.add.reduceat((both > 0).astype(np.int64), first)[up]
-            pool = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * kinds_both / SYMBOLS) / np.maximum(total.sum(0), 1)
-            p = (np.maximum(c - DISCOUNT, 0) + (STRENGTH + DISCOUNT * kinds) * pool) / (total + STRENGTH)
-            known = both > 0
-            step = np.where(known, np.log(np.where(known, p[1], 1)) - np.log(np.where(known, p[0], 1)), 0.0)
-            ratio[v, at] += step[index]
-            top[v, at] = np.maximum(top[v, at], ratio[v, at])
-            some = known & (top[v, at[head]] > DECIDING)
-            found.append((np.full(some.sum(), v, np.int32), node[head][some], ratio[v, at[head]][some]))
-    return found
-
-
-def rows_of(found) -> pa.Table:
-    variant, node, ratio = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in enumerate((np.int32, np.uint64, np.float64)))
-    return pa.table({"variant": pa.array(variant), "node": pa.array(node.view(np.int64)), "ratio": pa.array(ratio)})
-
-
-def compile_tables(counts: DataFrame) -> list[DataFrame]:
-    """For each variant (node, ratio): the word beginnings whose log ratio, or that of a beginning of theirs, exceeds the deciding one."""
-    spark = counts.sparkSession
-    head = F.col("key").bitwiseAND(F.lit(signed(MASKS[HEAD])))
-    heads = counts.groupBy(head.alias("key")).agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()
-    keys = heads.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    keys, sums = keys[order], np.stack([heads.column(c).to_numpy()[order] for c in COUNTS]) if len(keys) else np.zeros((4, 0), np.int64)
-    ratio, top = np.zeros((len(VARIANTS), len(keys))), np.full((len(VARIANTS), len(keys)), -1e3)
-    upper = spark.createDataFrame(rows_of(climb(keys, sums, range(1, HEAD + 1), ratio, top)))
-    shared = spark.sparkContext.broadcast((keys, ratio, top))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // 500_000)
-
-    def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        sums = np.stack([table.column(c).to_numpy()[order] for c in COUNTS])
-        heads, ratio, top = shared.value
-        at = np.searchsorted(heads, keys & np.uint64(MASKS[HEAD]))
-        return rows_of(climb(keys, sums, range(HEAD + 1, DEPTH + 1), ratio[:, at].copy(), top[:, at].copy()))
-
-    lower = counts.groupBy(F.pmod(F.xxhash64(head), F.lit(n)).alias("bucket")).applyInArrow(run, "variant int, node long, ratio double")
-    table = runtime.written(upper.select("variant", "node", "ratio").unionByName(lower), "tables")
-    return [table.where(F.col("variant") == v).select("node", "ratio") for v in range(len(VARIANTS))]
+def histories(words: DataFrame) -> DataFrame:
+    """(node, parent, gram) with counts: every beginning of a word, the one without its last symbol, its last three symbols."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = runtime.text_arrays(batch.column(0))
+            counts = [batch.column(i + 1).to_numpy() for i in range(len(COUNTS))]
+            for a, b in runtime.slices(offsets, 1 << 20):
+                w = Words(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1]) - 1)
+                owner, depth = np.repeat(np.arange(b - a), w.sizes), ranges(w.sizes)
+                symbol = w.data.astype(np.int32)
+                gram = symbol.copy()
+                for back in (1, 2):
+                    gram[back:] |= np.where(depth[back:] >= back, symbol[: len(symbol) - back], 0) << (8 * back)
+                every, at, inverse = np.unique(w.node(owner, depth + 1), return_index=True, return_inverse=True)
+                parent = w.node(owner[at], depth[at])
+                sums = [np.bincount(inverse, c[a:b][owner], len(every)).astype(np.int64) for c in counts]
+                yield pa.record_batch({"node": pa.array(every.view(np.int64)), "parent": pa.array(parent.view(np.int64)), "gram": pa.array(gram[at]), **{c: pa.array(s) for c, s in zip(COUNTS, sums)}})
+
+    found = words.mapInArrow(run, "node long, parent long, gram int, a0 long, a1 long, b0 long, b1 long")
+    return found.groupBy("node", "parent", "gram").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def compile_tables(words: DataFrame) -> list[DataFrame]:
+    """For each variant (node, step, back): the log ratio of a history's last symbol, and that of every symbol that isn't stored after it."""
+    several = range(len(VARIANTS))
+    nodes = histories(words)
+    for v, classes in enumerate(VARIANTS):
+        for name, columns in zip("ot", classes):
+            nodes = nodes.withColumn(f"{name}{v}", sum(F.col(c) for c in columns))
+    nodes = runtime.written(nodes.drop(*COUNTS), "histories")
+    both = lambda v: F.col(f"o{v}") + F.col(f"t{v}")
+    # continuation counts: of different histories before the last symbols
+    grams = nodes.groupBy("gram").agg(*[F.sum((both(v) > 0).cast("long")).alias(f"c{v}") for v in several])
+    grams = runtime.written(grams.withColumns({"last": F.expr("gram >> 8"), "symbol": F.expr("gram & 255")}), "grams")
+    lasts = grams.groupBy("last").agg(*[e for v in several for e in (F.sum(f"c{v}").alias(f"cs{v}"), F.sum((F.col(f"c{v}") > 0).cast("long")).alias(f"ck{v}"))])
+    symbols = grams.groupBy("symbol").agg(*[F.sum((F.col(f"c{v}") > 0).cast("long")).alias(f"u{v}") for v in several])
+    whole = symbols.agg(*[e for v in several for e in (F.sum(f"u{v}").alias(f"us{v}"), F.sum((F.col(f"u{v}") > 0).cast("long")).alias(f"uk{v}"))])
+
+    def discounted(n, total, kinds, lower):
+        return (F.greatest(n - SHARED_DISCOUNT, F.lit(0.0)) + SHARED_DISCOUNT * kinds * lower) / F.greatest(total, F.lit(1))
+
+    lower = grams.join(lasts, "last").join(symbols, "symbol").join(F.broadcast(whole))  # one row
+    for v in several:
+        alone = discounted(F.col(f"u{v}"), F.col(f"us{v}"), F.col(f"uk{v}"), F.lit(1 / 256))
+        lower = lower.withColumn(f"low{v}", discounted(F.col(f"c{v}"), F.col(f"cs{v}"), F.col(f"ck{v}"), alone))
+    lower = lower.select("gram", *[f"low{v}" for v in several])
+    # what follows each history
+    less = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
+    after = nodes.groupBy(F.col("parent").alias("h")).agg(
+        *[e for v in several for e in (F.sum(f"o{v}").alias(f"ho{v}"), F.sum(f"t{v}").alias(f"ht{v}"), less(f"o{v}").alias(f"mo{v}"), less(f"t{v}").alias(f"mt{v}"), F.sum((both(v) > 0).cast("long")).alias(f"k{v}"))]
+    )
+    after = runtime.written(after, "after")
+    weight = lambda x, v: (STRENGTH + F.col(f"m{x}{v}")) / (F.col(f"h{x}{v}") + STRENGTH)
+    backs = after.select("h", *[(F.log(weight("t", v)) - F.log(weight("o", v))).alias(f"back{v}") for v in several])
+    stored = lambda v: (F.col(f"o{v}") > DISCOUNT) | (F.col(f"t{v}") > DISCOUNT)
+    steps = nodes.where(" OR ".join(f"o{v} > {DISCOUNT} OR t{v} > {DISCOUNT}" for v in several)).join(after, F.col("parent") == F.col("h")).join(lower, "gram")
+    for v in several:
+        shared = discounted(both(v), F.col(f"ho{v}") + F.col(f"ht{v}"), F.col(f"k{v}"), F.col(f"low{v}"))
+        p = {x: F.greatest(F.col(f"{x}{v}") - DISCOUNT, F.lit(0)) / (F.col(f"h{x}{v}") + STRENGTH) + weight(x, v) * shared for x in "ot"}
+        steps = steps.withColumn(f"step{v}", F.when(stored(v), F.log(p["t"]) - F.log(p["o"])))
+    steps = steps.select("node", *[f"step{v}" for v in several]).join(backs.withColumnRenamed("h", "node"), "node", "left")
+    # all words start from the empty history
+    root = backs.where("h = 0").select(F.lit(0).cast("long").alias("node"), *[F.lit(0.0).alias(f"step{v}") for v in several], *[f"back{v}" for v in several])
+    table = runtime.written(steps.unionByName(root), "tables")
+    return [table.where(F.col(f"step{v}").isNotNull()).select("node", F.col(f"step{v}").alias("step"), F.coalesce(f"back{v}", F.lit(0.0)).alias("back")) for v in several]
 
 
 class Table:
     """The scoring table as sorted arrays."""
 
-    def __init__(self, node: np.ndarray, ratio: np.ndarray):
+    def __init__(self, node: np.ndarray, step: np.ndarray, back: np.ndarray):
         order = np.argsort(node)
-        self.node, self.excess = node[order], np.maximum(ratio[order] - DECIDING, 0.0)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.slot(self.node)] = True
+        self.node, self.step, self.back = node[order], step[order], back[order]
 
-    @staticmethod
-    def slot(x: np.ndarray) -> np.ndarray:
-        return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        """What each word's ratio exceeds the deciding one by, from its longest known beginning."""
-        out = np.zeros(len(keys))
+    def of(self, words: Words) -> np.ndarray:
+        """Each word's log ratio: the steps of its stored beginnings, then the last one's backoff."""
+        out = np.zeros(len(words.sizes))
         if not len(self.node):
             return out
-        for mask in MASKS[1:]:
-            node = keys & np.uint64(mask)
-            maybe = np.flatnonzero(self.seen[self.slot(node)])
-            at = np.minimum(np.searchsorted(self.node, node[maybe]), len(self.node) - 1)
-            hit = self.node[at] == node[maybe]
-            out[maybe[hit]] = self.excess[at[hit]]
+        root = np.searchsorted(self.node, np.uint64(0))
+        going, last, depth = np.arange(len(out)), np.full(len(out), root), 1
+        while len(going):
+            node = words.node(going, depth)
+            at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+            hit = self.node[at] == node
+            out[going] += np.where(hit, self.step[at], self.back[last])
+            more = hit & (depth < words.sizes[going])
+            going, last, depth = going[more], at[more], depth + 1
         return out
 
 
-def statistics(documents: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """The input's columns but for `text`, and one statistic a table (x0, x1, ...), which stay arrays on the executors where they are small."""
+def evidence(ratio: np.ndarray) -> np.ndarray:
+    """The log-likelihood of words in a toxic document less that in an ordinary one."""
+    return np.logaddexp(math.log1p(-MIX), math.log(MIX) + ratio)
+
+
+def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The input's columns but for `text`, and one statistic a table (x0, x1, ...), or what the curve makes of it. The tables stay arrays on the executors where they are small."""
     rest = [c for c in documents.columns if c != "text"]
     rows = [t.count() for t in tables]
     if max(rows) > TABLE_ROWS:
-        return statistics_by_join(documents, tables)
+        return statistics_by_join(documents, tables, curve)
     arrays = []
     for t in tables:
         got = t.toArrow()
-        arrays.append((got.column("node").to_numpy().view(np.uint64), got.column("ratio").to_numpy()))
+        arrays.append((got.column("node").to_numpy().view(np.uint64), got.column("step").to_numpy(), got.column("back").to_numpy()))
     shared = documents.sparkSession.sparkContext.broadcast(arrays)
 
     def run(batches):
@@ -224,12 +226,12 @@ def statistics(documents: DataFrame, tables: list[DataFrame]) -> DataFrame:
         for batch in batches:
             data, offsets = runtime.text_arrays(batch.column(batch.num_columns - 1))
             for a, b in runtime.slices(offsets):
-                key, first = word_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                words, inverse, first = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 columns = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 for t in known:
-                    sums = np.concatenate(([0.0], np.cumsum(t.of(key))))
+                    sums = np.concatenate(([0.0], np.cumsum(evidence(t.of(words))[inverse])))
                     x = (sums[first[1:]] - sums[first[:-1]]) / (np.diff(first) + SMOOTH_WORDS)
-                    columns.append(pa.array(x))
+                    columns.append(pa.array(np.interp(x, *curve) if curve else x))
                 yield pa.RecordBatch.from_arrays(columns, names=[*rest, *[f"x{i}" for i in range(len(known))]])
             runtime.trim()
 
@@ -237,8 +239,8 @@ def statistics(documents: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return documents.select(*rest, "text").mapInArrow(run, schema)
 
 
-def statistics_by_join(documents: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """The same for tables too large to broadcast: each document's word beginnings, joined level by level at once."""
+def statistics_by_join(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The same for tables too large to broadcast: all distinct words are joined with the table, then the documents' words with them."""
     rest = [c for c in documents.columns if c != "text"]
 
     def run(batches):
@@ -246,43 +248,56 @@ def statistics_by_join(documents: DataFrame, tables: list[DataFrame]) -> DataFra
             data, offsets = runtime.text_arrays(batch.column(1))
             ids = batch.column(0).to_numpy()
             for a, b in runtime.slices(offsets, 1 << 20):
-                key, first = word_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                doc = np.repeat(ids[a:b], np.diff(first))
-                yield pa.record_batch({"row": pa.array(doc), "key": pa.array(key.view(np.int64)), "word": pa.array(np.arange(len(key), dtype=np.int64))})
+                words, inverse, first = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                key = words.node(np.arange(len(words.sizes)), words.sizes)
+                doc = np.repeat(np.arange(a, b), np.diff(first))
+                pairs, n = np.unique(doc * len(key) + inverse, return_counts=True)
+                doc, which = pairs // max(len(key), 1), pairs % max(len(key), 1)
+                edges = np.append(words.starts, len(words.data))
+                column = pa.Array.from_buffers(pa.large_binary(), len(key), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(words.data)]).cast(pa.binary())
+                yield pa.record_batch({"row": pa.array(ids[doc]), "key": pa.array(key.view(np.int64)[which]), "word": column.take(pa.array(which)), "n": pa.array(n)})
+
+    def beginnings(batches):
+        for batch in batches:
+            data, offsets = runtime.text_arrays(batch.column(1))
+            keys = batch.column(0).to_numpy()
+            for a, b in runtime.slices(offsets, 1 << 20):
+                w = Words(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1]) - 1)
+                owner, depth = np.repeat(np.arange(b - a), w.sizes), ranges(w.sizes)
+                owner, depth = np.concatenate([np.arange(b - a), owner]), np.concatenate([np.zeros(b - a, np.int64), depth + 1])  # and the empty history
+                yield pa.record_batch({"key": pa.array(keys[a:b][owner]), "size": pa.array(w.sizes[owner]), "depth": pa.array(depth), "node": pa.array(w.node(owner, depth).view(np.int64))})
 
     numbered = runtime.written(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    words = numbered.select("_row", "text").mapInArrow(run, "row long, key long, word long")
-    counted = words.groupBy("row", "key").agg(F.count("*").alias("n"))
-    sizes = counted.groupBy("row").agg(F.sum("n").alias("words"))
-    out = numbered.drop("text").join(sizes, F.col("_row") == F.col("row"), "left").drop("row")
-    masks = F.array(*[F.lit(signed(m)) for m in MASKS[1:]])
-    nodes = counted.select("row", "key", "n", F.posexplode(F.transform(masks, lambda m: F.col("key").bitwiseAND(m))).alias("level", "node"))
+    found = runtime.written(numbered.select("_row", "text").mapInArrow(run, "row long, key long, word binary, n long"), "words")
+    ways = runtime.written(found.groupBy("key").agg(F.first("word").alias("word")).mapInArrow(beginnings, "key long, size long, depth long, node long"), "beginnings")
+    out = numbered.drop("text").join(found.groupBy("row").agg(F.sum("n").alias("words")), F.col("_row") == F.col("row"), "left").drop("row")
     for i, t in enumerate(tables):
-        hits = nodes.join(t, "node").groupBy("row", "key", "n").agg(F.max_by("ratio", "level").alias("ratio"))
-        sums = hits.groupBy("row").agg(F.sum(F.col("n") * F.greatest(F.col("ratio") - DECIDING, F.lit(0.0))).alias("s"))
+        hits = ways.join(t, "node").groupBy("key", "size").agg(F.sum("step").alias("step"), F.max_by("back", "depth").alias("back"), F.max("depth").alias("depth"))
+        ratio = F.col("step") + F.when(F.col("depth") < F.col("size"), F.col("back")).otherwise(0.0)
+        sums = found.join(hits.select("key", F.log((1 - MIX) + MIX * F.exp(ratio)).alias("e")), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("e")).alias("s"))
         out = out.join(sums, F.col("_row") == F.col("row"), "left").withColumn(f"x{i}", F.coalesce("s", F.lit(0.0)) / (F.coalesce("words", F.lit(0)) + SMOOTH_WORDS)).drop("row", "s")
+        if curve:
+            out = out.withColumn(f"x{i}", F.pandas_udf(lambda x: pd.Series(np.interp(x, *curve)), "double")(f"x{i}"))
     return out.select(*rest, *[f"x{i}" for i in range(len(tables))])
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve (intercept, slope) by Newton steps with a small ridge; without both classes, a flat one."""
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of the label on the statistic, by pooling neighbours that are out of order: (statistics, scores), linear in between.
+
+    A hundredth of the score is the statistic's quantile, which keeps the order inside a pool. Without both classes the curve is flat.
+    """
     if len(set(y.tolist())) < 2:
-        return (-2.0, 0.0)
-    scale = float(x.std()) or 1.0
-    z, w = x / scale, np.array([math.log(y.mean() / (1 - y.mean())), 1.0])
-    design = np.stack([np.ones_like(z), z])
-    ridge = np.diag([0.0, 0.5])
-    loss = lambda v: float(np.logaddexp(0, design.T @ v).sum() - y @ (design.T @ v) + v @ ridge @ v / 2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(design.T @ w, -40, 40)))
-        step = np.linalg.solve((design * (p * (1 - p))) @ design.T + ridge + 1e-9 * np.eye(2), design @ (y - p) - ridge @ w)
-        size = 1.0
-        while size > 1e-4 and loss(w + size * step) > loss(w):
-            size /= 2
-        w = w + size * step
-        if np.abs(size * step).max() < 1e-8:
-            break
-    return float(w[0]), max(float(w[1]) / scale, 0.0)
+        return np.zeros(1), np.full(1, 0.1)
+    at, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
+    pools: list[list[float]] = []  # sum of labels, rows, first and last statistic
+    for lies, s, n in zip(at.tolist(), np.bincount(inverse, y).tolist(), count.tolist()):
+        pools.append([s, n, lies, lies])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            s, n, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], last]
+    sums, rows, first, last = np.array(pools).T
+    value = np.interp(at, np.stack([first, last], 1).ravel(), np.repeat(sums / rows, 2))
+    return at, 0.99 * value + 0.01 * (np.cumsum(count) - count / 2) / count.sum()
 
 
 def remainder(column: str):
@@ -298,17 +313,15 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     n = known.count()
     known = known.withColumn("fold", (remainder("id") / 2).cast("int"))
     rows = docs.join(F.broadcast(known) if n <= LABEL_ROWS else known, docs.doc_id == known.id).where("text IS NOT NULL")
-    counts = runtime.written(count(rows.select("text", "toxic", "fold")), "counts")
-    tables = compile_tables(counts)
+    tables = compile_tables(count(rows.select("text", "toxic", "fold")))
     chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(CURVE_ROWS)  # at most so many rows, the documented bound
     sample = docs.join(F.broadcast(chosen), docs.doc_id == chosen.id).select("toxic", "fold", "text")
     points = statistics(sample, tables[1:]).toPandas()
     x = np.where(points["fold"] == 0, points["x1"], points["x0"])  # by the other fold's counts
-    intercept, slope = fit_curve(x.astype(float), points["toxic"].to_numpy().astype(float))
+    curve = fit_curve(x.astype(float), points["toxic"].to_numpy().astype(float))
     passed = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    scored = statistics(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *passed), tables[:1])
-    score = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("x0"))))
-    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), score.alias("score"), *([F.struct(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept")] if keep else []))
+    scored = statistics(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *passed), tables[:1], curve)
+    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("x0").alias("score"), *([F.struct(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept")] if keep else []))
 
 
 def op7_toxicity(spark, sf_dir):
