@@ -199,6 +199,59 @@ class Rolling:
         return mix((self.prefix[n:] - self.prefix[:k]) * self.inverse[:k]) if k > 0 else np.zeros(0, np.uint64)
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first does."""
+    return np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
+
+
+class Pairs:
+    """Hashes of 128 bits in two halves. The first alone nearly always tells them apart; where it doesn't, the second does."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    @staticmethod
+    def joined(parts: list[Pairs]) -> Pairs:
+        none = np.zeros(0, np.uint64)
+        return Pairs(np.concatenate([none, *(x.a for x in parts)]), np.concatenate([none, *(x.b for x in parts)]))
+
+    def take(self, which) -> Pairs:
+        return Pairs(self.a[which], self.b[which])
+
+    def changes(self) -> np.ndarray:
+        return changes(self.a) | changes(self.b)
+
+    def sorting(self) -> np.ndarray:
+        order = np.argsort(self.a, kind="stable")
+        a, b = self.a[order], self.b[order]
+        return np.lexsort((self.b, self.a)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(one of each in sorted order, which of these each is, how many there are)."""
+        order = self.sorting()
+        head = np.flatnonzero(self.take(order).changes())
+        count = np.diff(np.append(head, len(order)))
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.repeat(np.arange(len(head)), count)
+        return order[head], inverse, count
+
+    def find(self, others: Pairs) -> np.ndarray:
+        """Where others stand among these, which are sorted and distinct; -1 if they don't."""
+        out = np.full(len(others), -1)
+        if not len(self):
+            return out
+        at = np.searchsorted(self.a, others.a)
+        most = int(np.diff(np.append(np.flatnonzero(changes(self.a)), len(self))).max())
+        for k in range(most):  # once, but for hashes with the same first half
+            x = np.minimum(at + k, len(self) - 1)
+            hit = (self.a[x] == others.a) & (self.b[x] == others.b)
+            out[hit] = x[hit]
+        return out
+
+
 def byte_values(seed: int) -> np.ndarray:
     """256 fixed random numbers, one a byte value."""
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -6,31 +6,32 @@ not join, and strings are judged on the input.
 
 Parsing. A rolling hash of `TRIGGER` bytes that meets the condition (one in
 `SPACING`) is a trigger; triggers cut each text into phrases. They depend on
-nothing but the bytes around them, so equal strings are cut alike.
-
-Corpus order. The suffix that starts at byte i is a suffix of its phrase (a
-dictionary suffix) followed by the parse from the next trigger t on. Suffixes
-are ordered by fingerprints of these parts, not by their bytes: only neighbours
-that agree over `length` bytes matter, and those are the same in either order.
-
-1. Parse suffixes are sorted by their first `length - REACH` bytes, `REACH`
-   being the most bytes between i and its trigger. Those that occur once (the
-   bulk of ordinary text) are done with.
-2. The others are sorted with their phrase and all `length` bytes in front of
-   them. Equal neighbours are repeats as a whole: every start in the phrase is,
+nothing but the bytes around them, so equal strings are cut alike. The suffix
+that starts at byte i is a suffix of its phrase (a dictionary suffix) followed
+by the parse from the next trigger t on.
+
+1. Parse suffixes of `length - REACH` bytes, `REACH` being the most bytes
+   between i and its trigger, that occur once in the corpus (the bulk of
+   ordinary text) are done with.
+2. The others are compared with their phrase and all `length` bytes in front of
+   them. Equal ones are repeats as a whole: every start in the phrase is,
    without a look at single bytes. This is where repetitive text collapses.
 3. Where a parse suffix goes with different phrases or continuations (the ends
-   of repeats), the dictionary suffixes are sorted byte by byte, each distinct
-   one once a piece. So are starts with no trigger within `REACH` bytes.
+   of repeats), and where no trigger lies within `REACH` bytes, every start
+   counts. Each piece of documents puts them in corpus order by the suffix
+   arrays of its dictionary and of its parse (`suffix_order`): neighbours whose
+   common prefix has `length` bytes are equal, byte for byte. One of each run
+   of equal strings goes on to the other pieces.
 
-Sorting goes on in buckets of fingerprints, to which each piece of documents
-sends its distinct ones: a string in a third of all documents is one entry a
-piece. Nothing is sent for pairs.
+Pieces meet in buckets of fingerprints, to which each sends its distinct ones:
+a string in a third of all documents is one entry a piece. Nothing is sent for
+pairs. What decides that strings of different pieces are equal has 128 bits;
+step 1, which only chooses what the others look at, has 32 and the bucket.
 
 Null and empty texts have no bytes. Repeated rows are documents of their own,
 so their long strings are repeats. doc_id may be null. Texts over `GROUP_BYTES`
-are parsed in overlapping parts. Other columns are ignored; an empty table
-gives no rows.
+are parsed in overlapping parts. Other columns, whatever their names, are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runtime
+from . import runtime, suffix_order
 
 LENGTH, TRIGGER, SPACING, REACH = 400, 8, 16, 128
 GROUP_BYTES = 1 << 20
-HIT = "piece int, hits binary, states binary"
+#: Bytes of which one corpus order is made; the strings of several meet as those of several pieces do.
+ORDER_BYTES = 2 << 20
+HIT = "piece int, hits binary, checks binary, states binary"
 OUT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
 WHOLE, OPEN, BOTH = 1, 2, 3
 
@@ -61,7 +64,7 @@ class Parsed:
     """Some whole documents, or a part of a long one, cut into phrases. Positions are bytes of the piece."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, base: int, own: tuple[int, int], length: int):
-        self.base, self.length = base, length
+        self.base, self.length, self.data, self.bounds = base, length, data, bounds
         self.rolling = runtime.Rolling(runtime.byte_values(7)[data], 7)
         n = len(data)
         windows = self.rolling.prefix[TRIGGER:] - self.rolling.prefix[: n + 1 - TRIGGER] if n >= TRIGGER else np.zeros(0, np.uint64)
@@ -69,7 +72,7 @@ class Parsed:
         t = np.flatnonzero(windows >> np.uint64(40) & np.uint64(0xFFFFFF) < np.uint64((1 << 24) // SPACING))
         v = np.searchsorted(bounds, t, side="right") - 1
         inside = t + TRIGGER <= bounds[v + 1]
-        t, v = t[inside], v[inside]
+        self.cuts = t, v = t[inside], v[inside]
         start, end = bounds[v], bounds[v + 1]
         before = np.concatenate(([-1], t[:-1]))
         low = np.maximum(np.maximum(before + 1, t - REACH + 1), start)
@@ -86,12 +89,69 @@ class Parsed:
     def parse_suffixes(self) -> np.ndarray:
         return self.rolling.of(self.t, self.length - REACH)
 
-    def contexts(self, which=slice(None)) -> np.ndarray:
+    def hashes(self, starts: np.ndarray, lengths) -> "runtime.Pairs":
+        """128 bits of each stretch."""
+        if not hasattr(self, "second"):
+            self.second = runtime.Rolling(runtime.byte_values(8)[self.data], 8)
+        return runtime.Pairs(self.rolling.of(starts, lengths), self.second.of(starts, lengths))
+
+    def contexts(self, which=slice(None)) -> "runtime.Pairs":
         """Phrase and following bytes: all that the strings that start in the phrase can see."""
-        return self.rolling.of(self.low[which], np.minimum(self.t[which] + self.length, self.end[which]) - self.low[which])
+        return self.hashes(self.low[which], np.minimum(self.t[which] + self.length, self.end[which]) - self.low[which])
+
+    def strings(self, at: np.ndarray) -> "runtime.Pairs":
+        return self.hashes(at, self.length)
 
-    def strings(self, at: np.ndarray) -> np.ndarray:
-        return self.rolling.of(at, self.length)
+    def regions(self, at: np.ndarray):
+        """(text, (starts, ends), triggers, at) of the stretches that strings at these sorted starts cover, laid end to end."""
+        doc = np.searchsorted(self.bounds, at, side="right") - 1
+        new = np.concatenate(([True], (at[1:] > at[:-1] + self.length) | (doc[1:] != doc[:-1])))
+        head = np.flatnonzero(new)
+        first, last = at[head], at[np.append(head[1:], len(at)) - 1] + self.length
+        offset = np.cumsum(last - first) - (last - first)
+        t = self.cuts[0]
+        where = np.searchsorted(first, t, side="right") - 1
+        t, where = t[where >= 0], where[where >= 0]
+        inside = t + TRIGGER <= last[where]
+        t, where = t[inside], where[inside]
+        return self.data[spread(first, last - 1)], (offset, offset + last - first), t - first[where] + offset[where], at - np.repeat(first - offset, np.diff(np.append(head, len(at))))
+
+
+class Equal:
+    """The distinct strings of a piece, found by their corpus order, a batch of text at a time."""
+
+    def __init__(self, length: int):
+        self.length, self.held, self.size = length, [], 0
+        self.found, self.several = [], []
+
+    def add(self, g: Parsed, at: np.ndarray, whole: np.ndarray) -> None:
+        if len(at):
+            order = np.argsort(at)
+            at = at[order]
+            self.held.append((*g.regions(at), g.strings(at), whole[order]))
+            self.size += len(self.held[-1][0])
+            if self.size >= ORDER_BYTES:
+                self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        base = np.cumsum([0, *(len(x[0]) for x in self.held)])
+        text = np.concatenate([x[0] for x in self.held])
+        first, last = (np.concatenate([x[1][k] + b for x, b in zip(self.held, base)]) for k in (0, 1))
+        triggers, at = (np.concatenate([x[k] + b for x, b in zip(self.held, base)]) for k in (2, 3))
+        group = suffix_order.CorpusOrder(text, (first, last), triggers, TRIGGER, at, self.length).groups()
+        _, one, count = np.unique(group, return_index=True, return_counts=True)
+        self.found.append(runtime.Pairs.joined([x[4] for x in self.held]).take(one))
+        self.several.append((count > 1) | (np.bincount(group, np.concatenate([x[5] for x in self.held])) > 0))
+        self.held, self.size = [], 0
+
+    def distinct(self) -> tuple["runtime.Pairs", np.ndarray]:
+        """(strings, whether they are already known to be repeats)."""
+        self.flush()
+        found, several = runtime.Pairs.joined(self.found), joined(self.several, bool)
+        one, inverse, count = found.distinct()
+        return found.take(one), (count > 1) | (np.bincount(inverse, several, len(one)) > 0)
 
 
 def parsed(table: pa.Table, length: int):
@@ -142,9 +202,9 @@ def rows(piece: int | None, buckets: np.ndarray, columns: dict[str, np.ndarray])
     return pa.table(out | {name: pa.array([blob(x[i:j]) for _, i, j in parts], pa.binary()) for name, x in columns.items()})
 
 
-def replies(table: pa.Table, hits: list[np.ndarray], states: list[np.ndarray] | None = None) -> pa.Table:
-    out = {"piece": pa.array(table.column("piece").to_pylist(), pa.int32()), "hits": pa.array([x.tobytes() for x in hits], pa.binary())}
-    out["states"] = pa.array([x.tobytes() for x in states], pa.binary()) if states else pa.nulls(len(hits), pa.binary())
+def replies(table: pa.Table, hits: list[np.ndarray], checks: list[np.ndarray] | None = None, states: list[np.ndarray] | None = None) -> pa.Table:
+    blobs = lambda parts: pa.array([x.tobytes() for x in parts], pa.binary()) if parts else pa.nulls(len(hits), pa.binary())
+    out = {"piece": pa.array(table.column("piece").to_pylist(), pa.int32()), "hits": blobs(hits), "checks": blobs(checks), "states": blobs(states)}
     return pa.table(out).filter(pa.array([len(x) > 0 for x in hits], pa.bool_()))
 
 
@@ -178,47 +238,45 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
                 which = np.flatnonzero(runtime.member_of(k, hits))
                 key.append(k[which])
                 context.append(g.contexts(which))
-        key, context = joined(key), joined(context)
-        order = np.lexsort((context, key))
-        key, context = key[order], context[order]
-        head = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(context, prepend=~context[:1]) != 0)) if len(key) else np.zeros(0, np.int64)
+        key, context = joined(key), runtime.Pairs.joined(context)
+        order = np.lexsort((context.b, context.a, key))
+        key, context = key[order], context.take(order)
+        head = np.flatnonzero(runtime.changes(key) | context.changes())
         count = np.diff(np.append(head, len(key)))
-        return rows(piece, (key[head] >> np.uint64(32)).astype(np.int64), {"low": key[head].astype(np.uint32), "context": context[head], "several": count > 1})
+        return rows(piece, (key[head] >> np.uint64(32)).astype(np.int64), {"low": key[head].astype(np.uint32), "context": context.a[head], "check": context.b[head], "several": count > 1})
 
     def neighbours(table: pa.Table) -> pa.Table:
         """To each piece its contexts that are repeats as a whole, and those whose parse suffix has other contexts."""
-        low, context = joined(numbers(table.column("low"), np.uint32), np.uint32), numbers(table.column("context"), np.uint64)
+        low, context, check = (numbers(table.column(c), t) for c, t in (("low", np.uint32), ("context", np.uint64), ("check", np.uint64)))
         sizes = [len(x) for x in context]
-        context, several = joined(context), bits(table.column("several"), sizes).astype(bool)
-        order = np.lexsort((context, low))
-        a, b = low[order], context[order]
-        new_low = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-        new = new_low | np.concatenate(([True], b[1:] != b[:-1])) if len(a) else new_low
+        low, context = joined(low, np.uint32), runtime.Pairs(joined(context), joined(check))
+        several = bits(table.column("several"), sizes).astype(bool)
+        order = np.lexsort((context.b, context.a, low))
+        new_low = runtime.changes(low[order])
+        new = new_low | context.take(order).changes()
         which, group = np.cumsum(new) - 1, np.cumsum(new_low) - 1
-        whole = (np.bincount(which) > 1) | (np.bincount(which, several[order]) > 0) if len(a) else np.zeros(0, bool)
-        mixed = np.bincount(group, new) > 1 if len(a) else np.zeros(0, bool)
-        state = np.zeros(len(a), np.uint8)
-        state[order] = whole[which] * WHOLE + mixed[group] * OPEN if len(a) else 0
+        whole = (np.bincount(which) > 1) | (np.bincount(which, several[order]) > 0)
+        mixed = np.bincount(group, new) > 1
+        state = np.zeros(len(low), np.uint8)
+        state[order] = whole[which] * WHOLE + mixed[group] * OPEN
         cut = np.cumsum(sizes)[:-1]
-        good = [s > 0 for s in np.split(state, cut)]
-        return replies(table, [x[m] for x, m in zip(np.split(context, cut), good)], [x[m] for x, m in zip(np.split(state, cut), good)])
+        state = np.split(state, cut)
+        told_ = lambda x: [y[s > 0] for y, s in zip(np.split(x, cut), state)]
+        return replies(table, told_(context.a), told_(context.b), [s[s > 0] for s in state])
 
     def states(right: pa.Table):
-        """The contexts told, sorted, and their states; a context under several parse suffixes gets all its states."""
+        """The contexts told, each once, and their states; a context under several parse suffixes gets all its states."""
         marked = right.filter(pa.compute.is_valid(right.column("states")))
-        context, state = told(marked, "hits", np.uint64), told(marked, "states", np.uint8)
-        order = np.argsort(context, kind="stable")
-        context, state = context[order], state[order]
-        head = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-        return context[head], np.bitwise_or.reduceat(state, head) if len(head) else state
-
-    def starts(g: Parsed, context: np.ndarray, state: np.ndarray):
-        """(state of each phrase, starts to look at byte by byte, whether each lies in a whole repeat)."""
-        own = g.contexts()
-        hit = runtime.member_of(own, context)
-        mark = np.zeros(len(own), np.uint8)
-        if len(context):
-            mark[hit] = state[np.searchsorted(context, own[hit])]
+        context, state = runtime.Pairs(told(marked, "hits", np.uint64), told(marked, "checks", np.uint64)), told(marked, "states", np.uint8)
+        one, inverse, _ = context.distinct()
+        every = np.zeros(len(one), np.uint8)
+        np.bitwise_or.at(every, inverse, state)
+        return context.take(one), every
+
+    def starts(g: Parsed, context: "runtime.Pairs", state: np.ndarray):
+        """(state of each phrase, starts at which every string counts, whether each lies in a whole repeat)."""
+        found = context.find(g.contexts())
+        mark = np.where(found >= 0, np.append(state, np.uint8(0))[found], np.uint8(0))
         open_ = np.flatnonzero(mark & OPEN)
         at = spread(g.low[open_], g.high[open_])
         whole = np.repeat((mark[open_] & WHOLE) > 0, np.maximum(g.high[open_] - g.low[open_] + 1, 0))
@@ -226,29 +284,28 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
         return mark, np.concatenate([at, far]), np.concatenate([whole, np.zeros(len(far), bool)])
 
     def strings(table: pa.Table, right: pa.Table) -> pa.Table:
-        """A piece's distinct strings to compare byte by byte, and which it already knows to be repeats."""
-        piece, found, known = None, [], []
+        """A piece's distinct strings where every start counts, and which it already knows to be repeats."""
+        piece, found = None, Equal(length)
         if table.num_rows:
             piece = table.column("piece")[0].as_py()
             context, state = states(right)
             for g in parsed(table, length)[3]():
-                _, at, whole = starts(g, context, state)
-                found.append(g.strings(at))
-                known.append(whole)
-        found, known = joined(found), joined(known, bool)
-        every, inverse, count = np.unique(found, return_inverse=True, return_counts=True)
-        several = (count > 1) | (np.bincount(inverse, known, len(every)) > 0)
-        bucket = runtime.bucket_of(every, n)
-        return rows(piece, bucket, {"string": every, "several": several})
+                found.add(g, *starts(g, context, state)[1:])
+        every, several = found.distinct()
+        bucket = runtime.bucket_of(every.a, n)
+        return rows(piece, bucket, {"string": every.a, "check": every.b, "several": several})
 
     def equal(table: pa.Table) -> pa.Table:
-        """To each piece the strings that it doesn't know to be repeats, and that are."""
+        """To each piece its strings that are repeats."""
         string = numbers(table.column("string"), np.uint64)
         sizes = [len(x) for x in string]
+        string = runtime.Pairs(joined(string), joined(numbers(table.column("check"), np.uint64)))
         several = bits(table.column("several"), sizes).astype(bool)
-        every, inverse, count = np.unique(joined(string), return_inverse=True, return_counts=True)
-        good = every[(count > 1) | (np.bincount(inverse, several, len(every)) > 0)]
-        return replies(table, [x[~s & runtime.member_of(x, good)] for x, s in zip(string, np.split(several, np.cumsum(sizes)[:-1]))])
+        one, inverse, count = string.distinct()
+        good = ((count > 1) | (np.bincount(inverse, several, len(one)) > 0))[inverse]
+        cut = np.cumsum(sizes)[:-1]
+        told_ = lambda x: [y[g] for y, g in zip(np.split(x, cut), np.split(good, cut))]
+        return replies(table, told_(string.a), told_(string.b))
 
     def remove(table: pa.Table, right: pa.Table) -> pa.Table:
         run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -256,21 +313,19 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("removed", run), ("kept", pa.binary()))})
         table, data, offsets, groups = parsed(table, length)
         context, state = states(right)
-        hits = np.sort(told(right.filter(pa.compute.is_null(right.column("states"))), "hits", np.uint64))
-        first, last, single, hashes, known = [], [], [], [], []
+        right = right.filter(pa.compute.is_null(right.column("states")))
+        hits = runtime.Pairs(told(right, "hits", np.uint64), told(right, "checks", np.uint64))
+        hits = hits.take(hits.distinct()[0])
+        first, last, single = [], [], []
         for g in groups():
             mark, at, whole = starts(g, context, state)
             covered = np.flatnonzero(mark & WHOLE)
             first.append(g.low[covered] + g.base)
             last.append(g.high[covered] + g.base)
-            single.append(at + g.base)
-            hashes.append(g.strings(at))
-            known.append(whole)
-        hashes, single, known = joined(hashes), joined(single, np.int64), joined(known, bool)
-        every, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        known = ((count > 1) | (np.bincount(inverse, known, len(every)) > 0) | runtime.member_of(every, hits))[inverse]
-        a = np.concatenate([joined(first, np.int64), single[known]])
-        b = np.concatenate([joined(last, np.int64), single[known]]) + length
+            single.append(at[(hits.find(g.strings(at)) >= 0) | whole] + g.base)
+        single = joined(single, np.int64)
+        a = np.concatenate([joined(first, np.int64), single])
+        b = np.concatenate([joined(last, np.int64), single]) + length
         order = np.argsort(a, kind="stable")
         a, b = a[order], np.maximum.accumulate(b[order]) if len(a) else b
         # runs end at gaps, and where a document ends
@@ -290,9 +345,9 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
 
     parses = docs.groupBy("piece").applyInArrow(runtime.lean(parse), "bucket int, piece int, low binary, several binary")
     twice = parses.groupBy("bucket").applyInArrow(runtime.lean(repeated), HIT)
-    contexts = docs.groupBy("piece").cogroup(twice.groupBy("piece")).applyInArrow(runtime.lean_pair(extend), "bucket int, piece int, low binary, context binary, several binary")
+    contexts = docs.groupBy("piece").cogroup(twice.groupBy("piece")).applyInArrow(runtime.lean_pair(extend), "bucket int, piece int, low binary, context binary, check binary, several binary")
     marked = runtime.written(contexts.groupBy("bucket").applyInArrow(runtime.lean(neighbours), HIT), "contexts")
-    compared = docs.groupBy("piece").cogroup(marked.groupBy("piece")).applyInArrow(runtime.lean_pair(strings), "bucket int, piece int, string binary, several binary")
+    compared = docs.groupBy("piece").cogroup(marked.groupBy("piece")).applyInArrow(runtime.lean_pair(strings), "bucket int, piece int, string binary, check binary, several binary")
     same = compared.groupBy("bucket").applyInArrow(runtime.lean(equal), HIT)
     return docs.groupBy("piece").cogroup(marked.unionByName(same).groupBy("piece")).applyInArrow(runtime.lean_pair(remove), OUT)
 
