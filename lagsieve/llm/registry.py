@@ -21,4 +21,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_ngram_jaccard": ngram_jaccard.oracle(), "op2_quality_rules": quality_rules.oracle(), "op3_decontamination": decontamination.oracle(), "op8_warc": warc.oracle(), "op9_substring_dedup": substring_dedup.oracle()}
+    return {
+        "op2_quality_rules": quality_rules.oracle(),
+        "op3_decontamination": decontamination.oracle(),
+        "op4_suffix_dedup": suffix_dedup.oracle(),
+        "op8_warc": warc.oracle(),
+        "op9_substring_dedup": substring_dedup.oracle(),
+        "op10_ngram_jaccard": ngram_jaccard.oracle(),
+    }

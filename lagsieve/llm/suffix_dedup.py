@@ -355,3 +355,19 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
 def op4_suffix_dedup(spark, sf_dir):
     out = remove_repeats(runtime.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The definition in DuckDB, over two hexadecimal digits a byte: every string, the starts of those found twice, the runs they cover."""
+    n = length
+    return f"""
+WITH a AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, {2 * n})) AS m FROM (SELECT r, x, unnest(range(0, length(x) // 2 - {n - 1})) AS i FROM a WHERE length(x) >= {2 * n})),
+s AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {n} THEN 0 ELSE 1 END AS new FROM s)),
+p AS (SELECT r, run, min(i) AS a, max(i) + {n} AS b FROM g GROUP BY r, run),
+q AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM p),
+k AS (SELECT a.r, sum(b - q.a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (q.a - before)), '' ORDER BY q.a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM a JOIN q USING (r) GROUP BY a.r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM a LEFT JOIN k USING (r)
+"""
