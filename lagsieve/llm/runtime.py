@@ -205,7 +205,7 @@ def changes(values: np.ndarray) -> np.ndarray:
 
 
 class Pairs:
-    """Hashes of 128 bits in two halves. The first alone nearly always tells them apart; where it doesn't, the second does."""
+    """Hashes in two parts. The first (64 bits) alone nearly always tells them apart; where it doesn't, the second does."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray):
         self.a, self.b = a, b
@@ -215,8 +215,9 @@ class Pairs:
 
     @staticmethod
     def joined(parts: list[Pairs]) -> Pairs:
-        none = np.zeros(0, np.uint64)
-        return Pairs(np.concatenate([none, *(x.a for x in parts)]), np.concatenate([none, *(x.b for x in parts)]))
+        if not parts:
+            return Pairs(np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        return Pairs(np.concatenate([x.a for x in parts]), np.concatenate([x.b for x in parts]))
 
     def take(self, which) -> Pairs:
         return Pairs(self.a[which], self.b[which])

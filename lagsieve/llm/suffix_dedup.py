@@ -25,7 +25,7 @@ by the parse from the next trigger t on.
 
 Pieces meet in buckets of fingerprints, to which each sends its distinct ones:
 a string in a third of all documents is one entry a piece. Nothing is sent for
-pairs. What decides that strings of different pieces are equal has 128 bits;
+pairs. What decides that strings of different pieces are equal has 96 bits;
 step 1, which only chooses what the others look at, has 32 and the bucket.
 
 Null and empty texts have no bytes. Repeated rows are documents of their own,
@@ -47,7 +47,7 @@ LENGTH, TRIGGER, SPACING, REACH = 400, 8, 16, 128
 GROUP_BYTES = 1 << 20
 #: Bytes of which one corpus order is made; the strings of several meet as those of several pieces do.
 ORDER_BYTES = 2 << 20
-HIT = "piece int, hits binary, checks binary, states binary"
+HIT = "piece int, bucket int, hits binary, checks binary, states binary"
 OUT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
 WHOLE, OPEN, BOTH = 1, 2, 3
 
@@ -90,10 +90,10 @@ class Parsed:
         return self.rolling.of(self.t, self.length - REACH)
 
     def hashes(self, starts: np.ndarray, lengths) -> "runtime.Pairs":
-        """128 bits of each stretch."""
+        """96 bits of each stretch."""
         if not hasattr(self, "second"):
             self.second = runtime.Rolling(runtime.byte_values(8)[self.data], 8)
-        return runtime.Pairs(self.rolling.of(starts, lengths), self.second.of(starts, lengths))
+        return runtime.Pairs(self.rolling.of(starts, lengths), (self.second.of(starts, lengths) >> np.uint64(32)).astype(np.uint32))
 
     def contexts(self, which=slice(None)) -> "runtime.Pairs":
         """Phrase and following bytes: all that the strings that start in the phrase can see."""
@@ -203,9 +203,11 @@ def rows(piece: int | None, buckets: np.ndarray, columns: dict[str, np.ndarray])
 
 
 def replies(table: pa.Table, hits: list[np.ndarray], checks: list[np.ndarray] | None = None, states: list[np.ndarray] | None = None) -> pa.Table:
-    blobs = lambda parts: pa.array([x.tobytes() for x in parts], pa.binary()) if parts else pa.nulls(len(hits), pa.binary())
-    out = {"piece": pa.array(table.column("piece").to_pylist(), pa.int32()), "hits": blobs(hits), "checks": blobs(checks), "states": blobs(states)}
-    return pa.table(out).filter(pa.array([len(x) > 0 for x in hits], pa.bool_()))
+    """What a bucket tells its pieces; booleans are packed."""
+    blob = lambda x: np.packbits(x).tobytes() if x.dtype == bool else x.tobytes()
+    blobs = lambda parts: pa.array([blob(x) for x in parts], pa.binary()) if parts else pa.nulls(len(hits), pa.binary())
+    out = {c: pa.array(table.column(c).to_pylist(), pa.int32()) for c in ("piece", "bucket")}
+    return pa.table(out | {"hits": blobs(hits), "checks": blobs(checks), "states": blobs(states)}).filter(pa.array([len(x) > 0 for x in hits], pa.bool_()))
 
 
 def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,9 +249,9 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
 
     def neighbours(table: pa.Table) -> pa.Table:
         """To each piece its contexts that are repeats as a whole, and those whose parse suffix has other contexts."""
-        low, context, check = (numbers(table.column(c), t) for c, t in (("low", np.uint32), ("context", np.uint64), ("check", np.uint64)))
+        low, context, check = (numbers(table.column(c), t) for c, t in (("low", np.uint32), ("context", np.uint64), ("check", np.uint32)))
         sizes = [len(x) for x in context]
-        low, context = joined(low, np.uint32), runtime.Pairs(joined(context), joined(check))
+        low, context = joined(low, np.uint32), runtime.Pairs(joined(context), joined(check, np.uint32))
         several = bits(table.column("several"), sizes).astype(bool)
         order = np.lexsort((context.b, context.a, low))
         new_low = runtime.changes(low[order])
@@ -267,7 +269,7 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
     def states(right: pa.Table):
         """The contexts told, each once, and their states; a context under several parse suffixes gets all its states."""
         marked = right.filter(pa.compute.is_valid(right.column("states")))
-        context, state = runtime.Pairs(told(marked, "hits", np.uint64), told(marked, "checks", np.uint64)), told(marked, "states", np.uint8)
+        context, state = runtime.Pairs(told(marked, "hits", np.uint64), told(marked, "checks", np.uint32)), told(marked, "states", np.uint8)
         one, inverse, _ = context.distinct()
         every = np.zeros(len(one), np.uint8)
         np.bitwise_or.at(every, inverse, state)
@@ -296,16 +298,14 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
         return rows(piece, bucket, {"string": every.a, "check": every.b, "several": several})
 
     def equal(table: pa.Table) -> pa.Table:
-        """To each piece its strings that are repeats."""
+        """To each piece which of its strings are repeats, in the order in which it sent them."""
         string = numbers(table.column("string"), np.uint64)
         sizes = [len(x) for x in string]
-        string = runtime.Pairs(joined(string), joined(numbers(table.column("check"), np.uint64)))
+        string = runtime.Pairs(joined(string), joined(numbers(table.column("check"), np.uint32), np.uint32))
         several = bits(table.column("several"), sizes).astype(bool)
         one, inverse, count = string.distinct()
         good = ((count > 1) | (np.bincount(inverse, several, len(one)) > 0))[inverse]
-        cut = np.cumsum(sizes)[:-1]
-        told_ = lambda x: [y[g] for y, g in zip(np.split(x, cut), np.split(good, cut))]
-        return replies(table, told_(string.a), told_(string.b))
+        return replies(table, np.split(good, np.cumsum(sizes)[:-1]))
 
     def remove(table: pa.Table, right: pa.Table) -> pa.Table:
         run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -313,17 +313,24 @@ def remove_repeats(documents: DataFrame, *, length: int = LENGTH, id_col: str =
             return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("removed", run), ("kept", pa.binary()))})
         table, data, offsets, groups = parsed(table, length)
         context, state = states(right)
-        right = right.filter(pa.compute.is_null(right.column("states")))
-        hits = runtime.Pairs(told(right, "hits", np.uint64), told(right, "checks", np.uint64))
-        hits = hits.take(hits.distinct()[0])
-        first, last, single = [], [], []
+        first, last, single, hashes = [], [], [], []
         for g in groups():
-            mark, at, whole = starts(g, context, state)
+            mark, at, _ = starts(g, context, state)
             covered = np.flatnonzero(mark & WHOLE)
             first.append(g.low[covered] + g.base)
             last.append(g.high[covered] + g.base)
-            single.append(at[(hits.find(g.strings(at)) >= 0) | whole] + g.base)
-        single = joined(single, np.int64)
+            single.append(at + g.base)
+            hashes.append(g.strings(at))
+        # the same distinct strings in the same order as were sent
+        hashes = runtime.Pairs.joined(hashes)
+        one, inverse, _ = hashes.distinct()
+        repeats = np.zeros(len(one), bool)
+        edges = np.searchsorted(runtime.bucket_of(hashes.a[one], n), np.arange(n + 1))
+        right = right.filter(pa.compute.is_null(right.column("states")))
+        for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("hits")):
+            x, y = edges[bucket], edges[bucket + 1]
+            repeats[x:y] = np.unpackbits(np.frombuffer(blob.as_buffer(), np.uint8), count=y - x)
+        single = joined(single, np.int64)[repeats[inverse]]
         a = np.concatenate([joined(first, np.int64), single])
         b = np.concatenate([joined(last, np.int64), single]) + length
         order = np.argsort(a, kind="stable")

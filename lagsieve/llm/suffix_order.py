@@ -46,7 +46,7 @@ class Dictionary:
         sizes = np.fromiter(map(len, phrases), np.int64, len(phrases))
         self.data = np.frombuffer(b"".join(phrases), np.uint8)
         self.starts = np.cumsum(sizes) - sizes
-        left = np.repeat(self.starts + sizes, sizes) - np.arange(len(self.data))
+        self.left = left = np.repeat(self.starts + sizes, sizes) - np.arange(len(self.data))
         symbol = np.concatenate([self.data.astype(np.int64) + 1, np.zeros(PACKED, np.int64)])
         key = np.zeros(len(self.data), np.int64)
         for j in range(PACKED):
@@ -141,12 +141,16 @@ class CorpusOrder:
         over = (p >= end_of[phrase[i]]) | (q >= end_of[phrase[j]])
         # where the phrases part: in the middle of the first, or of the first that differ
         p, q = np.minimum(p, n - 1), np.minimum(q, n - 1)
-        a = np.where(same_head, self.dictionary.starts[name[p]], inside[i])
-        b = np.where(same_head, self.dictionary.starts[name[q]], inside[j])
-        done = np.where(same_head, start[p] - at[i], 0)
-        self.common = done + self.dictionary.common(a, b)
-        whole = same_head & over  # up to a region's end, which lies `length` bytes behind
-        self.equal = whole | (self.common >= length)
+        self.apart = np.where(same_head, self.dictionary.starts[name[p]], inside[i]), np.where(same_head, self.dictionary.starts[name[q]], inside[j])
+        self.done = np.where(same_head, start[p] - at[i], 0)
+        self.equal = (same_head & over) | (self.done >= length)  # up to a region's end, which lies `length` bytes behind
+        a, b = self.apart
+        open_ = np.flatnonzero(~self.equal & (self.done + np.minimum(self.dictionary.left[a], self.dictionary.left[b]) >= length))
+        self.equal[open_] = self.done[open_] + self.dictionary.common(a[open_], b[open_]) >= length
+
+    def common(self) -> np.ndarray:
+        """The longest common prefixes of neighbours that aren't equal."""
+        return self.done + self.dictionary.common(*self.apart)
 
     def groups(self) -> np.ndarray:
         """A number for each string, the same for equal strings."""

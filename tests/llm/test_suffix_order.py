@@ -44,9 +44,10 @@ def test_corpus_order(kind, length):
         # as far as `length` bytes tell, the order is that of the bytes, and common prefixes are theirs
         in_corpus_order = [strings[i] for i in got_.order]
         assert in_corpus_order == sorted(strings)
+        common = got_.common()
         for k, (i, j) in enumerate(zip(got_.order[:-1], got_.order[1:])):
             if not got_.equal[k]:
-                assert got_.common[k] == lcp(suffix[i], suffix[j])
+                assert common[k] == lcp(suffix[i], suffix[j])
 
 
 def test_corpus_order_of_nothing():
@@ -54,6 +55,12 @@ def test_corpus_order_of_nothing():
     assert len(suffix_order.CorpusOrder(np.zeros(0, np.uint8), (none, none), none, 8, none, 400).groups()) == 0
 
 
+def test_regions_of_nothing_in_common():
+    data = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    order = suffix_order.CorpusOrder(data, (np.array([0, 8]), np.array([8, 16])), np.array([3, 11]), 2, np.array([0, 1, 8, 9]), 6)
+    assert len(set(order.groups())) == 4
+
+
 def test_pairs_with_equal_first_halves():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 5, 300).astype(np.uint64), rng.integers(0, 7, 300).astype(np.uint64)
