@@ -209,8 +209,11 @@ def evidence(ratio: np.ndarray) -> np.ndarray:
     return np.logaddexp(math.log1p(-MIX), math.log(MIX) + ratio)
 
 
-def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """The input's columns but for `text`, and one statistic a table (x0, x1, ...), or what the curve makes of it. The tables stay arrays on the executors where they are small."""
+def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None, held: list | None = None) -> DataFrame:
+    """The input's columns but for `text`, and one statistic a table (x0, x1, ...), or what the curve makes of it.
+
+    Tables of up to TABLE_ROWS are arrays on the executors; held gets their broadcast, for callers that know when it's used up.
+    """
     rest = [c for c in documents.columns if c != "text"]
     rows = [t.count() for t in tables]
     if max(rows) > TABLE_ROWS:
@@ -219,7 +222,12 @@ def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.nd
     for t in tables:
         got = t.toArrow()
         arrays.append((got.column("node").to_numpy().view(np.uint64), got.column("step").to_numpy(), got.column("back").to_numpy()))
+        del got
     shared = documents.sparkSession.sparkContext.broadcast(arrays)
+    del arrays
+    runtime.trim()  # the driver has no more need of them
+    if held is not None:
+        held.append(shared)
 
     def run(batches):
         known = [Table(*x) for x in shared.value]
@@ -316,7 +324,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     tables = compile_tables(count(rows.select("text", "toxic", "fold")))
     chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(CURVE_ROWS)  # at most so many rows, the documented bound
     sample = docs.join(F.broadcast(chosen), docs.doc_id == chosen.id).select("toxic", "fold", "text")
-    points = statistics(sample, tables[1:]).toPandas()
+    held: list = []
+    points = statistics(sample, tables[1:], held=held).toPandas()
+    for shared in held:
+        shared.destroy()
     x = np.where(points["fold"] == 0, points["x1"], points["x0"])  # by the other fold's counts
     curve = fit_curve(x.astype(float), points["toxic"].to_numpy().astype(float))
     passed = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
