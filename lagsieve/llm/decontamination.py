@@ -16,7 +16,8 @@ nothing; containment of the item does.
    document. Equal texts are verified once.
 
 DataFrame and SQL functions only. Sketches and candidates are broadcast up to
-`BROADCAST_ROWS` rows (counted first), and joined by shuffle beyond it.
+`BROADCAST_ROWS` rows (counted first), and joined by shuffle beyond it. Texts
+of any length are taken whole.
 
 Null and empty texts, and null and empty items, have no shingles and match
 nothing. Rows with the same doc_id are one document: its largest containment
@@ -90,11 +91,11 @@ def leaks(documents: DataFrame, items: DataFrame, *, percent: int = PERCENT, id_
     texts = small(candidates.select("t1", "t2").distinct())
     suspects = keyed.join(texts, ["t1", "t2"], "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"])
     found = suspects.select("t1", "t2", F.explode(F.expr(shingle_texts("text"))).alias("shingle"))
-    wanted = items.select("item_id", "it", F.expr(shingle_texts("text")).alias("s")).select("item_id", "it", F.size("s").cast("long").alias("n_item_shingles"), F.explode("s").alias("shingle"))
-    asked = candidates.withColumnsRenamed({c: f"c_{c}" for c in candidates.columns})
-    shared = found.join(small(runtime.written(wanted, "shingles")), "shingle")
-    # null ids are ids like others
-    shared = shared.join(asked, (F.col("t1") == F.col("c_t1")) & (F.col("t2") == F.col("c_t2")) & F.col("item_id").eqNullSafe(F.col("c_item_id")) & (F.col("it") == F.col("c_it")), "left_semi")
+    wanted = items.select("item_id", "it", F.expr(shingle_texts("text")).alias("s")).withColumnsRenamed({"item_id": "w_id", "it": "w_it"})
+    # each candidate asks for its item's shingles, so a shingle of many items costs nothing where they aren't candidates; null ids are ids like others
+    asked = candidates.join(small(runtime.written(wanted, "shingles")), (F.col("it") == F.col("w_it")) & F.col("item_id").eqNullSafe(F.col("w_id")))
+    asked = asked.select("t1", "t2", "item_id", "it", F.size("s").cast("long").alias("n_item_shingles"), F.explode("s").alias("shingle"))
+    shared = found.join(small(runtime.written(asked, "asked")), ["t1", "t2", "shingle"])
     verified = shared.groupBy("t1", "t2", "item_id", "it").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.count("*").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item_shingles")
     verified = runtime.written(verified, "verified")
     pairs = keyed.select("doc_id", "t1", "t2").join(small(verified.withColumnsRenamed({"t1": "v1", "t2": "v2"})), (F.col("t1") == F.col("v1")) & (F.col("t2") == F.col("v2")))

@@ -23,7 +23,8 @@ fewer words the whole sequence is the one shingle. Two documents link when
 5. The links' connected components, by distributed rounds.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a
-doc_id are one document. Rows without a doc_id get their set's size, link with
+doc_id are one document: each of its texts links, and all have its component.
+Very long texts are shingled a megabyte at a time. Rows without a doc_id get their set's size, link with
 nothing and have no component. Other columns are ignored; an empty table gives
 no rows.
 """
@@ -90,11 +91,15 @@ def signatures(documents: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def chosen(table: pa.Table, right: pa.Table) -> pa.Table:
-    """The rows of a piece that stand for a class, each id once."""
+    """The rows of a piece whose document stands for a class, each of its texts once."""
     ids = right.column("rep").drop_null()
-    table = runtime.ordered(table.filter(pa.compute.is_in(table.column("doc_id"), value_set=ids)))
-    column = table.column("doc_id").to_numpy()
-    return table.filter(pa.array(np.diff(column, prepend=-1 if not len(column) else column[0] - 1) != 0))
+    table = runtime.ordered(table.filter(pa.compute.is_in(table.column("doc_id"), value_set=ids))).combine_chunks()
+    if table.num_rows < 2:
+        return table
+    above, below = table.slice(0, table.num_rows - 1), table.slice(1)
+    texts = [pa.compute.fill_null(x.column("text"), "") for x in (above, below)]  # null and empty texts have the same set
+    again = pa.compute.and_(pa.compute.equal(above.column("doc_id"), below.column("doc_id")), pa.compute.equal(*texts)).to_numpy()
+    return table.filter(pa.array(np.concatenate(([True], ~again))))
 
 
 def order_keys(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -156,9 +161,9 @@ def join_block(ids: list[int], sizes: list[int], sets: list[np.ndarray], prefixe
         who, size, tokens = ids[k], sizes[k], sets[k]
         prefix = tokens[: prefixes[k]].tolist()
         roots = {forest.find(r) for t in prefix for r in reached.get(t, ())}
-        forest.find(who)
-        tree = Tree()
-        joined = [tree]
+        joined = [Tree()]
+        if (mine := forest.find(who)) in trees:  # a document of several rows
+            joined.append(trees.pop(mine))
         for root in roots:
             if forest.find(root) == forest.find(who):
                 continue
@@ -167,8 +172,6 @@ def join_block(ids: list[int], sizes: list[int], sets: list[np.ndarray], prefixe
                 yield who, other
                 joined.append(trees.pop(root))
                 forest.join(who, other)
-        if who in trees:  # a document of several rows
-            joined.append(trees.pop(who))
         tree = max(joined, key=lambda x: len(x.sets))
         for other in joined:
             if other is not tree:
@@ -187,6 +190,7 @@ def jaccard_components(documents: DataFrame, *, shingle: int = SHINGLE, percent:
     docs = runtime.in_pieces(documents, n, id_col, text_col)
     signed = runtime.written(signatures(docs, shingle), "signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    classes = runtime.written(classes, "classes")
     reps = classes.select(F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("piece"), "rep")
 
     def count(table: pa.Table, right: pa.Table) -> pa.Table:
@@ -253,13 +257,21 @@ def jaccard_components(documents: DataFrame, *, shingle: int = SHINGLE, percent:
     replies = counted.groupBy("bucket").applyInArrow(runtime.lean(frequent), "piece int, rep long, hits binary, weights binary")
     told = replies.unionByName(reps.select("piece", "rep"), allowMissingColumns=True)
     alive = runtime.written(docs.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(runtime.lean_pair(survivors), "doc_id long, size long, tokens binary, prefix long"), "sets")
-    links = runtime.written(tree_join(alive, percent), "links")
+    links = runtime.written(tree_join(alive, percent).unionByName(own_links(signed, classes)), "links")
     nodes = components(links, "links")
     labelled = classes.join(nodes, classes.rep == nodes.id, "left").select((F.col("d1") + F.lit(0)).alias("k1"), (F.col("d2") + F.lit(0)).alias("k2"), F.coalesce("component", "rep").alias("component"))
     found = signed.join(labelled, (signed.d1 == labelled.k1) & (signed.d2 == labelled.k2) & (signed.n_shingles > 0) & signed.doc_id.isNotNull(), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def own_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of the documents whose rows have several sets with the documents that stand for them."""
+    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2")
+    several = sets.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high")).where("low <> high").select(F.col("doc_id").alias("id"))
+    theirs = sets.join(several, sets.doc_id == F.col("id"), "left_semi").distinct()
+    return theirs.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def tree_join(alive: DataFrame, percent: int) -> DataFrame:
     """Links of a spanning forest of the sets (doc_id, size, tokens, prefix), found block by block."""
 

@@ -29,9 +29,11 @@ NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder of its own where none is named (tests)."""
+    """The folder that the driver and all executors share. Only where all of them are one process (local mode) may it be unnamed."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         state = worker_state("shared")
         base = state.setdefault("dir", tempfile.mkdtemp(prefix="lagsieve-"))
     return base.rstrip("/")
@@ -41,9 +43,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    worker_state("tables").setdefault("paths", []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables that were written so far, when nothing will be read from them any more; but for the one that `keep` reads."""
+    paths = worker_state("tables").setdefault("paths", [])
+    needed = {os.path.dirname(f) for f in keep.inputFiles()} if keep is not None else set()
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for path in paths:
+        place = hadoop(path)
+        if any(x.endswith(f"/{place.getName()}") for x in needed):
+            left.append(path)
+        else:
+            place.getFileSystem(conf).delete(place, True)
+    paths[:] = left
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks."""
     module = sys.modules.setdefault("_lagsieve_worker", types.ModuleType("_lagsieve_worker"))

@@ -11,7 +11,9 @@ scores add up in double precision; of equally good segmentations, the one whose
 last piece starts first wins; a character that no one-character piece matches
 costs the smallest score less 10 and counts as its UTF-8 bytes. Pieces don't
 cross the space mark, so words are counted apart, and a worker remembers the
-last `CACHE_WORDS` distinct ones.
+last `CACHE_WORDS` distinct ones. All pieces of the list can match, control,
+unknown and byte pieces among them: a literal `</s>` in a text is one piece, as
+it is to the library's model over that list.
 
 Null and empty texts have no tokens. Repeated rows are counted each; other
 columns are ignored; an empty table gives no rows; long texts and long words

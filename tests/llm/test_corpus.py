@@ -179,6 +179,46 @@ def test_pipeline_keeps_odd_rows(spark):
     assert ngram_jaccard.jaccard_components(docs).count() == 4
 
 
+def test_pipeline_loses_no_text_of_a_repeated_id(spark):
+    rows = [(46, "one wholly different text of its own kind"), (46, "and another text under the very same number"), (46, "and another text under the very same number"), (5, None), (5, ""), (47, "and another text under the very same number")]
+    out = corpus_pipeline.ngram_jaccard_stage(spark, frame(spark, rows), "")
+    assert got(out, "doc_id", "text") == in_order([rows[0], rows[1], rows[3], rows[4]])
+
+
+def test_pipeline_of_an_empty_table_and_of_clashing_names(spark):
+    sf = "/root/testdata/sf0.001"
+    none, odd = empty(spark), frame(spark, [(1, "plain words stand here"), (2, "x" * 3_000_000 + " " + "some words " * 200_000), (3, 'password = "hunter2hunter2"')])
+    for c in ("_gone", "_again", "_leaked", "score", "held_out", "x0", "_row", "_t1", "c_t1"):
+        none, odd = none.withColumn(c, F.lit(1)), odd.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = odd.columns
+        none, odd = (runtime.written(stage(spark, x, sf), f"clash-{name}") for x in (none, odd))
+        assert none.count() == 0 and none.columns == odd.columns == columns
+        assert [r["doc_id"] for r in odd.select("doc_id").orderBy("doc_id").collect()] == [1, 2, 3], name
+    assert corpus_pipeline.REDACTED in odd.where("doc_id = 3").first()["text"]
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, none, sf).count() == 0
+    packed = {r["doc_id"]: r["n"] for r in stage(spark, odd, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()}
+    assert set(packed) == {1, 2, 3} and packed[2] > 400_000
+
+
+def test_pipeline_rejects_what_the_models_reject(spark, tmp_path):
+    rows, labels = labelled(240)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = frame(spark, rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path)).collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert kept == {d for d, s in scores.items() if s < toxicity.THRESHOLD} and 0 < len(kept) < len(rows)
+
+
+def test_written_tables_can_be_swept(spark):
+    a, b = runtime.written(spark.range(3), "a"), runtime.written(spark.range(4), "b")
+    runtime.sweep(spark, keep=b)
+    assert b.count() == 4
+    with pytest.raises(Exception):  # noqa: B017
+        a.count()
+
+
 def test_registry_names():
     names = list(registry.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

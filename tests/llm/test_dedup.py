@@ -143,3 +143,13 @@ def test_hashes_tell_stretches_apart():
     rolling = runtime.Rolling(values, 7)
     a, b, c = rolling.of(np.array([0, 3, 6]), 3)
     assert a == b != c and (rolling.windows(3)[[0, 3, 6]] == [a, b, c]).all()
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    rng = np.random.default_rng(2)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+    a, b, c = say(40), say(40), say(40)
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(46, a), (46, b), (90, near(a)), (91, near(b)), (46, a), (50, c), (12, c), (50, near(a)), (7, say(30)), (7, None), (99, near(c)), (None, a)]
+    out = ngram_jaccard.jaccard_components(frame(spark, rows))
+    assert got(out, "doc_id", "n_shingles", "component_id") == in_order([(d, len(shingle_set(t)), None if d is None else 7 if d == 7 else 12) for d, t in rows])
