@@ -6,16 +6,21 @@ kept, and returns the columns of documents; the last returns the pieces.
 1. toxicity: documents with a score of 0.7 or more go. The models learn from
    the table `labels`, as far as its documents are there.
 2. ngram_jaccard: of documents linked by shingle sets, directly or through
-   others, the one with the smallest doc_id stays.
+   others, the one with the smallest doc_id stays. Rows that share a doc_id are
+   one document: all its different texts stay, equal ones once.
 3. decontamination: documents that hold a test item of `benchmark` go.
 4. secret_scan: every span of a secret becomes `REDACTED`; n_chars follows.
    No document goes.
 5. packing: what is left becomes sequences of at most 2048 tokens.
 
-Rows without a doc_id pass stage 2, where nothing is known of them; in stage 3
-each is judged by its text.
-Empty tables pass all stages. Models and bounds of the stages that no SQL can
-state make ORACLE_SQL None; the tests compare with brute force.
+Rows without a doc_id pass stage 2, where nothing is known of them; in the
+others each is judged by its text. Null and empty texts pass all stages and are
+one piece of one id in the last. Ties: equal texts, wherever they stand, get
+equal scores and spans, and the smallest doc_id stays. Very long texts are
+worked on whole. Other columns are carried along whatever their names (the last
+stage returns its own). Empty tables pass all stages.
+The models and the packing can't be stated in SQL, so ORACLE_SQL is None; the
+tests compare the stages with brute force.
 """
 
 from __future__ import annotations
@@ -43,19 +48,21 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
         return kept
     again = decontamination.small(again)
     once = kept.join(again, kept.doc_id == again._again, "left_anti")
-    return once.unionByName(kept.join(again, kept.doc_id == again._again, "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(kept.join(again, kept.doc_id == again._again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(docs, runtime.table(spark, sf_dir, "benchmark"))
     leaked = runtime.written(found.select(F.col("doc_id").alias("_leaked"), *[F.when(F.col("doc_id").isNull(), F.col(t)).alias(f"_{t}") for t in ("t1", "t2")]).distinct(), "leaked")
-    kept = docs.join(decontamination.small(leaked.where("_leaked IS NOT NULL")), docs.doc_id == F.col("_leaked"), "left_anti")
+    named = decontamination.small(leaked.where("_leaked IS NOT NULL"))
+    kept = docs.join(named, docs["doc_id"] == named["_leaked"], "left_anti")
     nameless = leaked.where("_leaked IS NULL")
     if nameless.isEmpty():
         return kept
     # a row without an id is known by its text
     t1, t2 = decontamination.text_hashes("text").values()
-    return kept.join(decontamination.small(nameless), F.col("doc_id").isNull() & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_anti")
+    nameless = decontamination.small(nameless)
+    return kept.join(nameless, F.col("doc_id").isNull() & (t1 == nameless["_t1"]) & (t2 == nameless["_t2"]), "left_anti")
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,4 +93,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = runtime.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        runtime.sweep(spark, keep=docs)
     return docs
