@@ -32,9 +32,9 @@ class Config:
 
 
 def resolve(name: str) -> Path:
-    """A literal path, else a file of the package's configs by its stem."""
+    """A literal path, else one from the repository's root, else a file of the package's configs by its stem."""
     given = Path(name)
-    for path in (given, FOLDER / f"{given.stem}.yaml"):
+    for path in (given, FOLDER.parent.parent / given, FOLDER / f"{given.stem}.yaml"):
         if path.is_file():
             return path
     raise FileNotFoundError(f"no such config: {name}")

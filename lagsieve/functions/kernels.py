@@ -193,6 +193,17 @@ def surrogate(x, source: int, b: int, seed: int, spectrum: np.ndarray | None = N
     return phase_randomize(x, digest_seed(seed, source, b), spectrum)
 
 
+def turned(x: np.ndarray, b: int, B: int, horizon: int) -> np.ndarray:
+    """The series turned round by its (b + 1)-th of B + 1 parts, but for the last `horizon` values, which no lag sees: a null without chance."""
+    n = len(x) - horizon
+    return np.concatenate([np.roll(x[:n], -((b + 1) * n // (B + 1))), x[n:]])
+
+
+def ridge(X, y, alpha: float) -> RidgePath:
+    """Ridge with one alpha."""
+    return ridge_path(X, y, (alpha,))
+
+
 def row_permute(x, seed: int) -> np.ndarray:
     return np.random.default_rng(digest_seed(seed)).permutation(finite("x", x, 1))
 

@@ -1,45 +1,57 @@
-"""Association measures, as foils to certified value, and the summaries of evidence. Catalyst, but for the p-values."""
+"""Association measures, as foils to certified value, and the summaries of evidence. Spectra and cross-correlations are kernels over whole channels; all else is Catalyst, but for the p-values."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import kernels as K
 from .probe import is_finite
+from .series import Shared, series
 
 NAN = float("nan")
 
 
+def largest_correlation(x: np.ndarray, y: np.ndarray, most: int) -> float:
+    """The largest absolute correlation over lags -most..most, by whole-series means and norms; NaN if either hardly varies."""
+    x, y = x - x.mean(), y - y.mean()
+    scale = float(np.sqrt((x * x).sum()) * np.sqrt((y * y).sum()))
+    if scale <= K.EPS:
+        return NAN
+    n, most = len(x), min(most, len(x) - 1)
+    return max(abs(float(x[max(k, 0) : n + min(k, 0)] @ y[max(-k, 0) : n - max(k, 0)])) for k in range(-most, most + 1)) / scale
+
+
 def xcorr_absmax(panel: DataFrame, most: int = 24) -> DataFrame:
-    """(a, b, xcorr): the largest absolute correlation over lags -most..most of each ordered pair, by whole-series means and norms."""
-    w = W.partitionBy("ch")
-    rows = panel.select("ch", "t", (F.col("z") - F.avg("z").over(w)).alias("x"))
-    norms = rows.groupBy("ch").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
-    a = rows.select(F.col("ch").alias("a"), F.col("x").alias("xa"), "t", lags).select("a", "xa", "lag", (F.col("t") - F.col("lag")).alias("t"))
-    b = rows.select(F.col("ch").alias("b"), F.col("x").alias("xb"), "t")
-    sums = a.join(b, "t").where("a <> b").groupBy("a", "b", "lag").agg(F.sum(F.col("xa") * F.col("xb")).alias("s"))
-    best = sums.groupBy("a", "b").agg(F.max(F.abs("s")).alias("s"))
-    best = best.join(norms.select(F.col("ch").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("ch").alias("b"), F.col("norm").alias("nb")), "b")
-    scale = F.col("na") * F.col("nb")
-    return best.select("a", "b", F.when(scale <= K.EPS, F.lit(NAN)).otherwise(F.col("s") / F.when(scale <= K.EPS, 1.0).otherwise(scale)).alias("xcorr"))
+    """(a, b, xcorr) of each ordered pair: largest_correlation. An unordered pair is one task, and both directions have its value."""
+    shared = Shared(panel)
+    ids = panel.select("ch").distinct()
+    pairs = ids.select(F.col("ch").alias("a")).join(ids.select(F.col("ch").alias("b")), F.col("a") < F.col("b"))
+    tasks = shared.join(shared.join(pairs, "a", "za"), "b", "zb")
+    n = max(int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")), panel.sparkSession.sparkContext.defaultParallelism)
+    get = shared.getter()
 
+    def run(batches):
+        for batch in batches:
+            out = [(t.a, t.b, largest_correlation(get(t, "a", "za"), get(t, "b", "zb"), most)) for t in batch.itertuples(index=False)]
+            yield pd.DataFrame([x for a, b, r in out for x in ((a, b, r), (b, a, r))], columns=["a", "b", "xcorr"])
 
-def spectrum(rows: DataFrame, n: int, keys=("ch",)) -> DataFrame:
-    """(keys, k, re, im) of the discrete Fourier transform over t in [0, n), bins 0..n/2, as a sum over rows by bins."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k")
-    turned = rows.select(*keys, "t", "x", k)
-    angle = F.lit(2 * math.pi) * ((F.col("k") * F.col("t")) % n) / n  # an exact whole number of steps before it becomes an angle
-    return turned.groupBy(*keys, "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(-F.col("x") * F.sin(angle)).alias("im"))
+    found = tasks.repartition(n, "a", "b").mapInPandas(run, "a int, b int, xcorr double")
+    return found.withColumn("xcorr", F.coalesce("xcorr", F.lit(NAN)))  # pandas hands NaN over as null
 
 
 def power_spectrum(panel: DataFrame, n: int) -> DataFrame:
-    s = spectrum(panel.select("ch", "t", F.col("z").alias("x")), n)
-    return s.select("ch", F.col("k").cast("int").alias("k"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("amplitude"))
+    """(ch, k, amplitude) of each channel's discrete Fourier transform over t in [0, n), bins 0..n/2."""
+
+    def run(batches):
+        for batch in batches:
+            for ch, z in zip(batch["ch"], batch["z"]):
+                yield pd.DataFrame({"ch": int(ch), "k": np.arange(n // 2 + 1), "amplitude": np.abs(np.fft.rfft(np.asarray(z, float)[:n], n))})
+
+    return series(panel).mapInPandas(run, "ch int, k int, amplitude double")
 
 
 def circular_autocorrelation(panel: DataFrame, n: int, most: int) -> DataFrame:
@@ -57,12 +69,17 @@ def coherence(panel: DataFrame, n: int) -> DataFrame:
     size = min(256, max(32, n // 4))
     step = size - size // 2
     count = (n - size) // step + 1
-    seg = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("seg")
-    rows = panel.select("ch", "t", "z", seg).withColumn("j", F.col("t") - F.col("seg") * step).where(f"j >= 0 AND j < {size}")
-    w = W.partitionBy("ch", "seg")
-    hann = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col("j") / size)
-    rows = rows.select("ch", "seg", F.col("j").alias("t"), ((F.col("z") - F.avg("z").over(w)) * hann).alias("x"))
-    s = spectrum(rows, size, ("ch", "seg"))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+
+    def run(batches):
+        for batch in batches:
+            for ch, z in zip(batch["ch"], batch["z"]):
+                parts = np.stack([np.asarray(z, float)[i * step : i * step + size] for i in range(count)])
+                f = np.fft.rfft((parts - parts.mean(1, keepdims=True)) * hann)
+                where = np.indices(f.shape)
+                yield pd.DataFrame({"ch": int(ch), "seg": where[0].ravel(), "k": where[1].ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
+
+    s = series(panel).mapInPandas(run, "ch int, seg int, k int, re double, im double")
     a, b = s.select(F.col("ch").alias("a"), "seg", "k", F.col("re").alias("ra"), F.col("im").alias("ia")), s.select(F.col("ch").alias("b"), "seg", "k", F.col("re").alias("rb"), F.col("im").alias("ib"))
     both = a.join(b, ["seg", "k"]).where("a < b")
     p = both.groupBy("a", "b", "k").agg(
@@ -135,6 +152,35 @@ def asymmetry(edges: DataFrame, k: int = 3) -> DataFrame:
     return both.select(F.col("target").alias("i"), F.col("source").alias("j"), F.abs(F.col("aligned_gain") - F.col("gain_ji")).alias("diff"), F.col("aligned_gain").alias("gain_ij"), "gain_ji").orderBy(F.col("diff").desc(), F.col("i").desc(), F.col("j").desc()).limit(k)
 
 
+def evidence_matrix(edges: DataFrame, value: str) -> DataFrame:
+    """target and columns s0 ... s(n - 1): each edge's value, NaN where there is none; n is one more than the largest channel."""
+    n = (edges.agg(F.max(F.greatest("target", "source"))).first()[0] if edges.take(1) else -1) + 1
+    grid = edges.sparkSession.range(n).select(F.col("id").cast("int").alias("target"))
+    made = edges.withColumn("v_", F.col(value).cast("double")).groupBy("target").pivot("source", list(range(n))).agg(F.last("v_"))
+    return grid.join(made, "target", "left").select("target", *[F.coalesce(F.col(f"`{j}`"), F.lit(NAN)).alias(f"s{j}") for j in range(n)])
+
+
+def summary_row(summary: DataFrame, dataset: str, pred_len: int, tier: str):
+    """The run's row of a summary table; a run that isn't there ends the program."""
+    found = summary.where((F.col("dataset") == dataset) & (F.col("pred_len") == pred_len) & (F.col("tier") == tier)).limit(1).collect()
+    if not found:
+        raise SystemExit(f"no summary row for {dataset}, {pred_len}, {tier}")
+    return found[0]
+
+
+def short_lines(text, most: int = 3) -> list[str]:
+    """The first entries of rejected_text or asymmetry_text with short names; no text gives none."""
+    if not isinstance(text, str) or text in ("", "nan"):
+        return []
+    return [part.replace("coherence_peak=", "coh=").replace("aligned_gain=", "gain=") for part in text.split("; ")[:most]]
+
+
+def summary_box(rejected, asymmetric) -> str:
+    """Both texts under their headings, an entry a line."""
+    parts = [("High association, no value:", rejected), ("Direction asymmetry:", asymmetric)]
+    return "\n\n".join("\n".join([head, *(f"  - {line}" for line in short_lines(text))]) for head, text in parts)
+
+
 def rejected_text(rows: list) -> str:
     """top_rejected as one line; formatted here, since Java's %g isn't C's."""
     return "; ".join(f"{r['target']}<-{r['source']}: coherence_peak={r['coherence_peak']:.3g}, aligned_gain={r['aligned_gain']:.3g}, p={r['p_value']:.3g}" for r in rows)

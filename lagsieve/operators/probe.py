@@ -9,7 +9,7 @@ share a target lie together, and its own history is fitted once for them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..plans import splits as S
-from .series import series
+from .series import Shared
 
 VARIANCE_EPS = SPARSE_EPS = 1e-12
 LEAST_ROWS = 8
@@ -39,12 +39,15 @@ class Probe:
     null_method: str = "phase"
     alpha_rule: str = "val_grid"
     slice: int = 50
+    parallelism: int | None = None
 
     def __post_init__(self):
         if self.B <= 0:
             raise ValueError("B must be positive")
-        if self.null_method not in ("phase", "row_perm"):
+        if self.null_method not in ("phase", "row_perm", "shift"):
             raise ValueError(f"unknown null method: {self.null_method}")
+        if self.parallelism is not None and self.parallelism < 1:
+            raise ValueError("parallelism must be positive")
 
 
 class Task:
@@ -75,10 +78,12 @@ def delta(y: np.ndarray, reduced: np.ndarray, full: np.ndarray) -> tuple[float,
     return (1 - float(((y - full) ** 2).sum()) / sst) - (1 - float(((y - reduced) ** 2).sum()) / sst), sst
 
 
-def surrogate_blocks(task: Task, z: np.ndarray, block: list[np.ndarray], source: int, b: int, spectrum) -> list[np.ndarray]:
-    if task.probe.null_method == "row_perm":
-        return K.row_permute_design(block, task.probe.seed, b)
-    return task.window(K.surrogate(z, source, b, task.probe.seed, spectrum))
+def surrogate_blocks(task: Task, probe: Probe, z: np.ndarray, block: list[np.ndarray], source: int, b: int, spectrum) -> list[np.ndarray]:
+    if probe.null_method == "row_perm":
+        return K.row_permute_design(block, probe.seed, b)
+    if probe.null_method == "shift":
+        return task.window(K.turned(z, b, probe.B, probe.horizon))
+    return task.window(K.surrogate(z, source, b, probe.seed, spectrum))
 
 
 def run_task(target: int, source: int, mode: str, own: np.ndarray, z: np.ndarray, others: list[np.ndarray], before: int, low: int, high: int, splits: S.Splits, probe: Probe, blocks: list[S.Splits], memory: dict):
@@ -100,7 +105,7 @@ def run_task(target: int, source: int, mode: str, own: np.ndarray, z: np.ndarray
     cert, u = task.y[2], task.rows[2]
     masks = [(-1, np.ones(len(u), bool))] + [(i, (u >= s.cert.start) & (u < s.cert.end)) for i, s in enumerate(blocks)]
     for b in ([-1] if low == 0 else []) + list(range(low, high)):
-        x = block if b < 0 else surrogate_blocks(task, z, block, source, b, spectrum)
+        x = block if b < 0 else surrogate_blocks(task, probe, z, block, source, b, spectrum)
         full, alpha = task.predict(*beside[:before], x, *beside[before:])
         for number, mask in masks:
             y, part = cert[mask], block[2][mask]
@@ -115,30 +120,43 @@ def pairs(panel: DataFrame) -> DataFrame:
 
 
 def deltas(panel: DataFrame, edges: DataFrame, splits: S.Splits, probe: Probe, blocks: list[S.Splits] | None = None) -> DataFrame:
-    """Long rows (DELTAS) of every edge (target, source[, group]); with a group (sources in rank order), the source is probed beside the group's others."""
-    z = series(panel)
+    """Long rows (DELTAS) of every edge (target, source[, group]); with a group (sources in rank order), the source is probed beside the group's others; with a seed, an edge has that instead of the probe's.
+
+    Only the tasks' keys are shuffled while the panel is small enough to be sent to the executors once.
+    """
+    shared = Shared(panel)
     spark = panel.sparkSession
     grouped = "group" in edges.columns
-    tasks = edges.select("target", "source", *(["group"] if grouped else []), F.explode(F.sequence(F.lit(0), F.lit(probe.B - 1), F.lit(probe.slice))).alias("low"))
-    tasks = tasks.join(z.select(F.col("ch").alias("target"), F.col("z").alias("zt")), "target").join(z.select(F.col("ch").alias("source"), F.col("z").alias("zs")), "source")
+    seeded = "seed" in edges.columns
+    tasks = edges.select("target", "source", *(["group"] if grouped else []), *(["seed"] if seeded else []), F.explode(F.sequence(F.lit(0), F.lit(probe.B - 1), F.lit(probe.slice))).alias("low"))
+    tasks = shared.join(shared.join(tasks, "target", "zt"), "source", "zs")
     if grouped:
+        tasks = tasks.withColumn("before", F.array_position("group", F.col("source")) - 1)
+    if grouped and shared.sent is None:
         others = edges.select("target", "source", F.posexplode("group").alias("place", "other")).where("other <> source")
-        others = others.join(z.select(F.col("ch").alias("other"), F.col("z").alias("zo")), "other")
+        others = shared.join(others, "other", "zo")
         # a group holds at most top-m sources
         others = others.groupBy("target", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other", "zo"))), lambda r: r["zo"]).alias("others"))
-        tasks = tasks.join(others, ["target", "source"], "left").withColumn("before", F.array_position("group", F.col("source")) - 1)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        tasks = tasks.join(others, ["target", "source"], "left")
+    n = probe.parallelism or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tasks = tasks.repartition(n, "target", "low").sortWithinPartitions("low", "target", "source")
     mode = "candidate_group" if grouped else "pairwise"
     parts = blocks or []
+    get, sent = shared.getter(), shared.sent
+
+    def beside(t) -> list[np.ndarray]:
+        if not grouped:
+            return []
+        if sent is not None:
+            return [sent.value[ch] for ch in t.group if ch != t.source]
+        return [np.asarray(x, float) for x in t.others] if t.others is not None else []
 
     def run(batches):
         memory: dict = {}
         for batch in batches:
             for t in batch.itertuples(index=False):
-                others_ = [np.asarray(x, float) for x in t.others] if grouped and t.others is not None else []
                 low = int(t.low)
-                rows = run_task(int(t.target), int(t.source), mode, np.asarray(t.zt, float), np.asarray(t.zs, float), others_, int(t.before) if grouped else 0, low, min(low + probe.slice, probe.B), splits, probe, parts, memory)
+                rows = run_task(int(t.target), int(t.source), mode, get(t, "target", "zt"), get(t, "source", "zs"), beside(t), int(t.before) if grouped else 0, low, min(low + probe.slice, probe.B), splits, replace(probe, seed=int(t.seed)) if seeded else probe, parts, memory)
                 yield pd.DataFrame.from_records(list(rows), columns=[c.split()[0] for c in DELTAS.split(", ")])
 
     # pandas hands NaN over as null

@@ -14,7 +14,7 @@ from . import ridge
 from .innovation import RidgeBase, innovation_of, innovations_p1
 from .lagged import within
 from .probe import NAN, pairs
-from .series import series
+from .series import Shared
 
 TOP = 4
 #: Channels a side of a block of pairs.
@@ -47,10 +47,11 @@ def ranked(scores: DataFrame, top: int = TOP) -> DataFrame:
 
 def scores(panel: DataFrame, splits: S.Splits, lookback: int, horizon: int, alphas, *, rule: str = "val_grid", chosen=None, most=None) -> DataFrame:
     """R2, against zero, of each target's residuals on each source's window (SCORES). The own base is fitted once for the pairs of a target that lie together."""
-    z = series(panel)
+    shared = Shared(panel)
     ids = targets(panel, chosen, most).select(F.col("ch").alias("target"))
     tasks = pairs(panel).join(ids, "target", "left_semi")
-    tasks = tasks.join(z.select(F.col("ch").alias("target"), F.col("z").alias("zt")), "target").join(z.select(F.col("ch").alias("source"), F.col("z").alias("zs")), "source")
+    tasks = shared.join(shared.join(tasks, "target", "zt"), "source", "zs")
+    get = shared.getter()
     spark = panel.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tasks = tasks.repartition(n, "target").sortWithinPartitions("target", "source")
@@ -61,9 +62,9 @@ def scores(panel: DataFrame, splits: S.Splits, lookback: int, horizon: int, alph
             out = []
             for t in batch.itertuples(index=False):
                 if t.target != last:
-                    last, found = t.target, innovation_of(np.asarray(t.zt, float), splits, lookback, horizon, RidgeBase(alphas))
+                    last, found = t.target, innovation_of(get(t, "target", "zt"), splits, lookback, horizon, RidgeBase(alphas))
                 resid = {k: y - p for k, (_, y, p) in found.items()}
-                x = {k: K.lagged(np.asarray(t.zs, float), u, lookback, horizon) for k, (u, _, _) in found.items()}
+                x = {k: K.lagged(get(t, "source", "zs"), u, lookback, horizon) for k, (u, _, _) in found.items()}
                 path = K.ridge_path(x["train_fit"], resid["train_fit"], alphas)
                 alpha = K.choose_alpha(path, x["val_alpha"], resid["val_alpha"], rule)
                 out.append((t.target, t.source, K.residual_r2(resid["cert"], path.predict(x["cert"], alpha)), alpha, *(len(r) for r in resid.values())))

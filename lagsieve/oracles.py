@@ -108,7 +108,7 @@ UNION ALL SELECT 'train_fit', -1, 0, f FROM x UNION ALL SELECT 'val_alpha', -1,
         "scaler_stats": f"{w} SELECT ch, channel, {r('mean, scale')} FROM sc",
         "scaled_panel": f"{w} SELECT t, ch, channel, {r('z')} FROM zp",
         "lagged_design": f"{w} SELECT a.ch, a.t AS u, a.t - 1 AS origin, {r('a.z').replace('AS z', 'AS y')}, 'own[' || a.ch || ']_lag_' || k AS feature, {r('b.z').replace('AS z', 'AS value')} FROM zp a, (SELECT unnest([1, 2, 3]) AS k) JOIN zp b ON TRUE WHERE b.ch = a.ch AND b.t = a.t - 1 - k AND a.t >= 4",
-        "own_source_design": f"{w} SELECT a.ch AS target, s.ch AS source, a.t AS u, {r('a.z').replace('AS z', 'AS y')}, CASE WHEN b.ch = a.ch THEN 'own[' || a.ch || ']_lag_' || k ELSE 'source_' || s.ch || '[' || s.ch || ']_lag_' || k END AS feature, {r('b.z').replace('AS z', 'AS value')} FROM zp a JOIN chs s ON s.ch <> a.ch, (SELECT unnest([1, 2]) AS k) JOIN zp b ON TRUE WHERE a.ch = 0 AND a.t >= 441 AND b.t = a.t - 1 - k AND (b.ch = a.ch OR b.ch = s.ch)",
+        "own_source_design": f"{w} SELECT a.ch AS target, s.ch AS source, a.t AS u, {r('a.z').replace('AS z', 'AS y')}, CASE WHEN b.ch = a.ch THEN 'own[' || a.ch || ']_lag_' || k ELSE 'source_' || s.ch || '[' || s.ch || ']_lag_' || k END AS feature, {r('b.z').replace('AS z', 'AS value')} FROM zp a JOIN chs s ON s.ch <> a.ch, (SELECT unnest([1, 2]) AS k) JOIN zp b ON TRUE WHERE a.t >= 441 AND b.t = a.t - 1 - k AND (b.ch = a.ch OR b.ch = s.ch)",
         "ridge_p1_path": f"{w}{PATH} SELECT ch, alpha_idx, alpha, {r('slope, intercept, df, gcv')} FROM pt",
         "ridge_p2_path": w + """, d2 AS (SELECT * FROM (SELECT ch, t AS u, z AS y, lag(z) OVER (PARTITION BY ch ORDER BY t) AS x1, lag(z, 2) OVER (PARTITION BY ch ORDER BY t) AS x2 FROM zp) WHERE x2 IS NOT NULL AND u < 331),
 q AS (SELECT ch, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, sum(x1 * x1) - count(*) * avg(x1) * avg(x1) AS a, sum(x2 * x2) - count(*) * avg(x2) * avg(x2) AS c, sum(x1 * x2) - count(*) * avg(x1) * avg(x2) AS b, sum(x1 * y) - count(*) * avg(x1) * avg(y) AS p, sum(x2 * y) - count(*) * avg(x2) * avg(y) AS q FROM d2 GROUP BY ch),
@@ -125,6 +125,9 @@ z AS (SELECT *, ((c + alpha) * p - b * q) / ((a + alpha) * (c + alpha) - b * b)
         "screen_topm": f"{w}{SCREEN} SELECT target, source, screen_rank, screen_rank <= 2 AND NOT isnan(s_screen) AS passed_screen FROM sk",
         "delta_r2_p1": f"{w}{PAIRS}{solved('pr', 'target, source')} SELECT target, source, {r('delta')}, n_cert FROM dl",
         "shift_null_p1": f"{w}{SHIFT} SELECT target, source, {r('delta_true, delta_null_mean, delta_null_std, aligned_gain, p_value')}, delta_true > 0 AND aligned_gain > 0 AS certified_candidate FROM sn",
+        "certify_shift_kernel": f"{w}{SHIFT} SELECT target, source, {r('delta_true, delta_null_mean, delta_null_std, aligned_gain, p_value')}, delta_true > 0 AND aligned_gain > 0 AS certified_candidate FROM sn",
+        "csv_source": f"{w} SELECT t, ch, channel, {r('v')} FROM panel WHERE t < 552",
+        "evidence_matrix": f"{w}{SHIFT} SELECT CAST(t AS INT) AS target, " + ", ".join(f"round(coalesce(max(CASE WHEN source = {j} THEN aligned_gain END), {NAN}), 6) + CAST(0 AS DOUBLE) AS s{j}" for j in range(5)) + " FROM (SELECT unnest(range(0, 5)) AS t) LEFT JOIN sn ON target = t GROUP BY t",
         "gates_guards": f"""WITH l AS (SELECT l_suppkey AS k, count(*) AS n, avg(l_discount) AS d, var_pop(l_quantity) AS v, max(l_tax) AS m FROM lineitem GROUP BY 1),
 c AS (SELECT k, CASE WHEN k % 11 = 0 THEN {NAN} WHEN k % 13 = 0 THEN {INF} ELSE d - CAST(0.05 AS DOUBLE) END AS dt, CASE WHEN k % 7 = 0 THEN {NAN} ELSE CAST(0.0501 AS DOUBLE) - d END AS g, CASE WHEN k % 5 = 0 THEN 7 ELSE n END AS n, CASE WHEN k % 17 = 0 THEN 0 ELSE v END AS v, CASE WHEN k % 19 = 0 THEN 0 ELSE m END AS m FROM l),
 x AS (SELECT k, isfinite(dt) AND dt > 0 AS a, isfinite(g) AND g > 0 AS b, n < 8 OR v <= 1e-12 AS nz, n < 8 OR m <= 1e-12 AS sz, NOT isfinite(dt) OR NOT isfinite(g) OR n < 8 OR v <= 1e-12 OR m <= 1e-12 AS un FROM c)
@@ -143,7 +146,7 @@ SELECT k AS edge, a AS gate_delta_true, b AS gate_aligned_gain, nz AS near_zero_
         "spearman_pairs": f"{w}, k AS MATERIALIZED (SELECT ch, t, {ranks.format(k='ch', v='z')} AS r FROM zp) SELECT a.ch AS a, b.ch AS b, round(corr(a.r, b.r), 6) + CAST(0 AS DOUBLE) AS rho FROM k a JOIN k b ON a.t = b.t AND a.ch < b.ch GROUP BY 1, 2",
         "spearman_screen": f"{e}, k AS (SELECT target, {ranks.format(k='target', v='p_value')} AS a, {ranks.format(k='target', v='coherence_peak')} AS b FROM oe WHERE NOT isnan(p_value)) SELECT target, count(*) AS n, round(corr(a, b), 6) + CAST(0 AS DOUBLE) AS rho FROM k GROUP BY 1",
         "ks_uniform": f"{e}, k AS (SELECT target, p_value AS p, row_number() OVER (PARTITION BY target ORDER BY p_value) AS i, CAST(count(*) OVER (PARTITION BY target) AS DOUBLE) AS n FROM oe WHERE NOT isnan(p_value)) SELECT target, count(*) AS n, round(max(greatest(i / n - p, p - (i - 1) / n)), 6) AS ks, round(avg(CASE WHEN p <= CAST(0.05 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS fpr05, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p FROM k GROUP BY 1",
-        "ecdf": f"{e} SELECT edge_type, round(p_value, 6) AS x, round(row_number() OVER (PARTITION BY edge_type ORDER BY p_value) / CAST(count(*) OVER (PARTITION BY edge_type) AS DOUBLE), 6) AS y FROM oe WHERE source % 10 = 1 AND NOT isnan(p_value)",
+        "ecdf": f"{e} SELECT edge_type, round(p_value, 6) AS x, round(row_number() OVER (PARTITION BY edge_type ORDER BY p_value) / CAST(count(*) OVER (PARTITION BY edge_type) AS DOUBLE), 6) AS y FROM oe WHERE NOT isnan(p_value)",
         "recovery_summary": f"{e}, s AS (SELECT edge_type, count(*) AS n, avg(delta_true) AS a, avg(aligned_gain) AS b, median(p_value) AS c, avg(CASE WHEN certified_candidate AND NOT isnan(p_value) AND p_value <= CAST(0.1 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE 0 END) AS d FROM oe GROUP BY 1) SELECT place, o.edge_type, coalesce(n, 0) AS n, " + ", ".join(f"round(coalesce({x}, {NAN}), 6) + CAST(0 AS DOUBLE) AS {y}" for x, y in (("a", "mean_delta"), ("b", "mean_gain"), ("c", "median_p"), ("d", "admitted_rate"))) + " FROM (VALUES (0, 'TRUE'), (1, 'NULL'), (2, 'DECOY'), (3, 'NONE')) o(place, edge_type) LEFT JOIN s ON s.edge_type = o.edge_type",
         "top_rejected": f"{e} SELECT target, source, {r('coherence_peak, aligned_gain, p_value')} FROM oe WHERE NOT certified_candidate ORDER BY oe.coherence_peak DESC, target, source LIMIT 3",
         "direction_asymmetry": f"{w}{SHIFT} SELECT a.target AS i, a.source AS j, round(abs(a.aligned_gain - b.aligned_gain), 6) AS diff, round(a.aligned_gain, 6) + CAST(0 AS DOUBLE) AS gain_ij, round(b.aligned_gain, 6) + CAST(0 AS DOUBLE) AS gain_ji FROM sn a JOIN sn b ON a.target = b.source AND a.source = b.target AND a.target < a.source ORDER BY abs(a.aligned_gain - b.aligned_gain) DESC, 1 DESC, 2 DESC LIMIT 3",

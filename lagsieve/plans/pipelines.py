@@ -65,6 +65,7 @@ def run_reference(spark: SparkSession, config: Config, *, tier: str | None = Non
     if output:
         folder = f"{output}/{sinks.run_id(config)}"
         edges = spark.read.parquet(sinks.write_edges(edges, folder))
+        print("\n".join(report(edges, {"tier": config.tier, "effective_B": B, "output": folder})))
     counts = edges.agg(F.count("*").alias("n_edges"), F.count_if("e_certified").alias("n_e_certified")).first().asDict()
     summary = counts | {"dataset": config.dataset, "pred_len": config.pred_len, "tier": config.tier, "effective_B": B, "N": n, "m": n - 1, "q": A.Q, "C": HEADROOM}
     if output:
@@ -127,6 +128,46 @@ def planted_verdict(edges: DataFrame) -> dict[str, bool]:
     return {"strong_recovered": row["strong"]["e_certified"], "zero_rejected": not row["zero"]["fdr_pass"], "decoy_rejected": not row["shared_period_decoy"]["e_certified"]}
 
 
+RECOVERY_LABELS = ("TRUE", "NULL", "DECOY")
+#: Fixed value: how far apart the seeds of two recovery edges are.
+RECOVERY_STEP = 1_000_003
+DECOY_LIMIT = 0.01
+
+
+def recovery(spark: SparkSession, *, n: int = 360, B: int = 39, seed: int = 2026, alphas=(0.1, 1.0, 10.0, 100.0)) -> DataFrame:
+    """The twelve labelled edges of the recovery panel certified, each by surrogates of its own seed; with edge_type and admitted_candidate."""
+    values = G.recovery(seed, n)
+    panel = G.panel(spark, values, [f"x{j}" for j in range(values.shape[1])])
+    labels = spark.createDataFrame([(t, s, kind, seed + RECOVERY_STEP * i) for i, (t, s, kind) in enumerate(G.RECOVERY_EDGES)], "target int, source int, edge_type string, seed long")
+    edges = P.certify(panel, labels.select("target", "source", "seed"), S.figure_splits(n), P.Probe(6, 1, tuple(alphas), B, seed))
+    passed = F.col("certified_candidate") & P.is_finite(F.col("p_value")) & (F.col("p_value") <= 0.10)
+    return edges.join(F.broadcast(labels), ["target", "source"]).withColumn("admitted_candidate", passed)
+
+
+def recovery_summary(edges: DataFrame) -> DataFrame:
+    """by_label of recovery's edges, with the decoys' mean gain in R2 and whether it is over the limit: then the instrument takes a common driver for value."""
+    decoy = edges.where("edge_type = 'DECOY'").agg(F.avg("delta_true").alias("decoy_mean_delta"))
+    return association.by_label(edges, list(RECOVERY_LABELS)).crossJoin(F.broadcast(decoy)).withColumn("decoy_failed", F.coalesce(F.col("decoy_mean_delta") > DECOY_LIMIT, F.lit(False)))  # one row
+
+
+def calibration(spark: SparkSession, *, pairs: int = 45, n: int = 260, B: int = 79, seed: int = 1000) -> DataFrame:
+    """Verdicts on unrelated pairs, each with a panel and a seed of its own: their p-values should spread evenly."""
+    import numpy as np
+
+    values = np.column_stack([G.null_pair(seed + k, n) for k in range(pairs)])
+    panel = G.panel(spark, values, [f"x{j}" for j in range(2 * pairs)])
+    edges = spark.createDataFrame([(2 * k, 2 * k + 1, seed + k) for k in range(pairs)], "target int, source int, seed long")
+    splits = S.Splits(S.Range(0, 250), S.Range(120, 180), S.Range(250, n), S.Range(0, 250), S.Range(40, 120), S.Range(120, 180), S.Range(180, 250))
+    return P.certify(panel, edges, splits, P.Probe(5, 1, (0.1, 1.0, 10.0, 100.0), B))
+
+
+def report(edges: DataFrame, summary: dict) -> list[str]:
+    """The lines that a run prints: an edge a line in order, then the summary."""
+    rows = edges.select("target", "source", "delta_true", "aligned_gain", "p_value", "certified_candidate").orderBy("target", "source").collect()  # at most MOST_CHANNELS squared
+    lines = [f"target={r['target']} source={r['source']} delta={r['delta_true']:.6g} aligned={r['aligned_gain']:.6g} p={r['p_value']:.6g} candidate={r['certified_candidate']}" for r in rows]
+    return [*lines, "summary:", *(f"  {k}={v:.6g}" if isinstance(v, float) else f"  {k}={v}" for k, v in summary.items())]
+
+
 def association_rows(panel: DataFrame, splits: S.Splits, config: Config, n: int) -> DataFrame:
     """Each ordered pair's verdict beside its coherence and cross-correlation."""
     edges = P.certify(panel, P.pairs(panel), splits, probe_of(config, config.B))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config
-from .functions import generators as G
+from .config import Config, Dataset
 from .operators import admission as A
 from .operators import association as X
 from .operators import innovation as I
@@ -19,6 +18,7 @@ from .operators import screen as SC
 from .plans import pipelines as J
 from .plans import splits as S
 from .sources import panel as sources
+from .sources import sinks
 
 HOURS, LOOKBACK = 720, 24
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0)
@@ -151,6 +151,10 @@ def queries() -> dict:
         "screen_topm": lambda s, d: SC.ranked(screen_p1(s, d), 2).select("target", "source", "screen_rank", "passed_screen"),
         "delta_r2_p1": r6(lambda s, d: P.delta_p1(P.pair_rows(lags(s, d)), SPLITS, ALPHA).select("target", "source", "delta", "n_cert")),
         "shift_null_p1": r6(lambda s, d: shift_null(s, d).select("target", "source", "delta_true", "delta_null_mean", "delta_null_std", "aligned_gain", "p_value", "certified_candidate")),
+        # the kernels of the certifier, with a null that SQL can state
+        "certify_shift_kernel": r6(lambda s, d: certified_by_shift(s, d).select("target", "source", "delta_true", "delta_null_mean", "delta_null_std", "aligned_gain", "p_value", "certified_candidate")),
+        "csv_source": r6(csv_source),
+        "evidence_matrix": r6(lambda s, d: X.evidence_matrix(shift_null(s, d), "aligned_gain")),
         "gates_guards": lambda s, d: P.gates(gate_cases(s, d)).select("edge", "gate_delta_true", "gate_aligned_gain", "near_zero_target_variance", "sparse_zero", "unstable_metric", "certified_candidate"),
         "bh_global": lambda s, d: A.benjamini_hochberg(order_edges(s, d)).select("target", "source", "fdr_q", "fdr_pass", "fdr_underpowered"),
         "bh_per_target": lambda s, d: A.benjamini_hochberg(order_edges(s, d), per=("target",)).select("target", "source", "fdr_q", "fdr_pass", "fdr_underpowered"),
@@ -182,7 +186,10 @@ def queries() -> dict:
         "reference_pipeline": r6(lambda s, d: J.reference(zpanel(s, d), SPLITS, SMALL).drop("git_hash")),
         "planted_acceptance": r6(lambda s, d: J.planted(s)),
         "association_run": r6(lambda s, d: J.association_rows(zpanel(s, d), SPLITS, SMALL.with_(B=9), PRE)),
-        "calibration_pairs": r6(calibration),
+        "calibration_pairs": r6(lambda s, d: J.calibration(s)),
+        "calibration_summary": r6(lambda s, d: X.ks_uniform(J.calibration(s).withColumn("all", F.lit(1)), ("all",)).drop("all")),
+        "recovery_run": r6(lambda s, d: J.recovery(s)),
+        "recovery_run_summary": r6(lambda s, d: J.recovery_summary(J.recovery(s))),
     }
 
 
@@ -192,15 +199,18 @@ def screen_users(spark: SparkSession, sf: str) -> DataFrame:
     return SC.ranked(SC.wide_p1(rows, SPLITS, ALPHAS)).where("passed_screen")
 
 
-def calibration(spark: SparkSession, sf: str) -> DataFrame:
-    """p-values of unrelated pairs (few, for a query; the tests take more): they should spread evenly."""
-    splits = S.Splits(S.Range(0, 250), S.Range(120, 180), S.Range(250, 260), S.Range(0, 250), S.Range(40, 120), S.Range(120, 180), S.Range(180, 250))
-    probe = P.Probe(5, 1, (0.1, 1.0, 10.0, 100.0), 39)
-    runs = [J.certify_pair(spark, G.null_pair(1000 + k, 260), 0, 1, splits, probe).withColumn("pair", F.lit(k)) for k in range(4)]
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
+def certified_by_shift(spark: SparkSession, sf: str) -> DataFrame:
+    panel = zpanel(spark, sf)
+    return P.certify(panel, P.pairs(panel), SPLITS, P.Probe(1, 1, (ALPHA,), SHIFTS, null_method="shift", slice=7))
+
+
+def csv_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly panel by way of a CSV file, of which only the rows before the test window are read."""
+    wide = sources.events_hourly(spark, sf, HOURS).groupBy("t").pivot("channel").agg(F.first("v")).orderBy("t")
+    dated = wide.select(F.expr(f"date_format(TIMESTAMP '{sources.HOUR_ZERO}' + make_dt_interval(0, CAST(t AS INT)), 'yyyy-MM-dd HH:mm:ss')").alias("date"), *[c for c in wide.columns if c != "t"])
+    path = sinks.scratch(spark, "csv-source")
+    dated.coalesce(1).write.option("header", True).csv(path)
+    return sources.csv_panel(spark, path, Dataset("events", path, "ETT_hour", None), PRE)
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

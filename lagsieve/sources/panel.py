@@ -22,22 +22,29 @@ def hour(ts: str) -> Column:
 
 
 def gridded(rows: DataFrame, t0: int, t1: int) -> DataFrame:
-    """(t, channel, v) summed and filled with zeros over all t of [t0, t1) and all channels; channels are numbered in order of their names."""
-    sums = rows.where((F.col("t") >= t0) & (F.col("t") < t1)).groupBy("t", "channel").agg(F.sum("v").alias("v"))
+    """(t, channel, v) summed and filled with zeros over all t of [t0, t1) and all channels; channels are numbered in order of their names. The range of t is sent to the channels: its length doesn't depend on how many rows or channels there are."""
+    sums = rows.groupBy("t", "channel").agg(F.sum("v").alias("v"))
     # distinct names are few next to the rows they come from
     named = rows.select("channel").distinct().withColumn("ch", (F.row_number().over(W.orderBy("channel")) - 1).cast("int"))
-    grid = rows.sparkSession.range(t0, t1).select(F.col("id").alias("t")).crossJoin(F.broadcast(named))  # time by channel, each once: the panel itself
+    times = rows.sparkSession.range(t0, t1).select(F.col("id").alias("t"))
+    grid = named.crossJoin(F.broadcast(times))  # time by channel, each once: the panel itself
     return grid.join(sums, ["t", "channel"], "left").select((F.col("t") - t0).alias("t"), "ch", "channel", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def within_hours(rows: DataFrame, hours: int) -> DataFrame:
+    """The rows; one outside the panel's hours is an error when it is read."""
+    out = (F.col("t") < 0) | (F.col("t") >= hours)
+    return rows.withColumn("v", F.when(out, F.raise_error(F.concat(F.lit("an event outside the panel: hour "), F.col("t"))).cast("double")).otherwise(F.col("v")))
+
+
 def events_hourly(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(hour("ts").alias("t"), F.col("event_type").alias("channel"), F.col("value").alias("v"))
-    return gridded(rows, 0, hours)
+    return gridded(within_hours(rows, hours), 0, hours)
 
 
 def users_hourly(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(hour("ts").alias("t"), F.lpad(F.col("user_id").cast("string"), 12, "0").alias("channel"), F.col("value").alias("v"))
-    return gridded(rows, 0, hours)
+    return gridded(within_hours(rows, hours), 0, hours)
 
 
 def daily(rows: DataFrame, day: str, channel: Column, value: str) -> DataFrame:
@@ -87,20 +94,23 @@ def csv_rows(spark: SparkSession, path: str) -> int:
 
 
 def csv_panel(spark: SparkSession, path: str, info: Dataset, read_until: int) -> DataFrame:
-    """The first read_until rows of a file as a long panel; later rows take no part in any plan."""
+    """The first read_until rows of a file, in the file's order, as a long panel. Rows are numbered and cut as text; no value of a later row is parsed."""
     names = spark.read.option("header", True).csv(path).columns
     channels = channel_order(names, info)
     if info.channels is not None and len(channels) != info.channels:
         raise ValueError(f"{info.name} should have {info.channels} channels, not {len(channels)}")
-    schema = T.StructType([T.StructField(n, T.StringType() if n == "date" else T.DoubleType()) for n in names])
-    wide = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
-    if "date" in names:
-        # order by the text of the date, as ISO dates sort; file order where dates tie isn't kept
-        wide = wide.withColumn("t", (F.row_number().over(W.orderBy("date")) - 1).cast("long"))
-    else:
-        wide = wide.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(T.StructType([*schema.fields, T.StructField("t", T.LongType())]))
-    wide = wide.where(F.col("t") < read_until)
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.lit(c).alias("channel"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(channels)]))
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.option("header", True).schema(text).csv(path)
+    # a row's number: how many rows the file's earlier splits hold, and its place in its own
+    raw = raw.select(*[F.col(f"`{n}`") for n in names], F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    splits = sorted((r["_start"], r["n"], r["low"]) for r in raw.groupBy("_start").agg(F.count("*").alias("n"), F.min("_row").alias("low")).collect())  # one row a split of the file
+    before, at = [], 0
+    for start, n, low in splits:
+        before.append((start, at - low))
+        at += n
+    offsets = spark.createDataFrame(before, "_start long, _before long")
+    wide = raw.join(F.broadcast(offsets), "_start").withColumn("t", F.col("_row") + F.col("_before")).where(F.col("t") < read_until)
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.lit(c).alias("channel"), F.trim(F.col(f"`{c}`")).cast("double").alias("v")) for i, c in enumerate(channels)]))
     return wide.select("t", cells.alias("cell")).select("t", "cell.ch", "cell.channel", "cell.v")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import subprocess
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,16 @@ SCHEMA_VERSION = "1"
 LINEAGE = ("schema_version", "run_id", "config_hash", "git_hash", "seed", "dataset", "pred_len", "tier", "mode", "alpha_rule")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the one that driver and executors share; only in local mode may that be unnamed."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lagsieve-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def run_id(config: Config) -> str:
     return f"{config.dataset}_pl{config.pred_len}_{config.tier}_{config_hash(config)}"
 
