@@ -18,8 +18,13 @@ fewer words the whole sequence is the one shingle. Two documents link when
    the threshold. Each component found so far has a tree of its own, reached
    through the probe's prefix shingles, and is left at the first link. So a
    family of N near copies costs N walks, not its pairs, and only the links of
-   a spanning forest leave the task. A block over `BLOCK_SHINGLES` is split into
-   parts that are joined two by two.
+   a spanning forest leave the task.
+   A block over `PART_SHINGLES` is dealt out in parts of that size. Each part
+   collapses to its components; of each, one set goes on to the next round, so a
+   large family is one component after a few rounds, wherever its sets lie.
+   Then only sets are left to compare that share a prefix shingle with another
+   component. They make up blocks of their own; one over `BLOCK_SHINGLES` is
+   split into parts that meet two by two. No pair is left out.
 5. The links' connected components, by distributed rounds.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a
@@ -40,7 +45,7 @@ from . import runtime
 from .components import EDGES, Forest, components
 
 SHINGLE, PERCENT = 5, 75
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES, PART_SHINGLES = 4_000_000, 40_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -215,8 +220,9 @@ def jaccard_components(documents: DataFrame, *, shingle: int = SHINGLE, percent:
         low = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("low")]
         several = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(k)) for x, k in zip(table.column("several"), low)])
         every, inverse, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-        times = np.minimum(times + np.bincount(inverse, several, len(every)).astype(np.int64), 255).astype(np.uint8)
-        good, weight = every[times > 1], times[times > 1]
+        times = times + np.bincount(inverse, several, len(every)).astype(np.int64)
+        good, times = every[times > 1], times[times > 1]
+        weight = np.minimum(12 * np.log2(times), 255).astype(np.uint8)  # a twelfth of a power of two, up to 2 million pieces
         hits, weights = [], []
         for x in low:
             x = x[runtime.member_of(x, good)]
@@ -272,48 +278,99 @@ def own_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return theirs.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
-def tree_join(alive: DataFrame, percent: int) -> DataFrame:
-    """Links of a spanning forest of the sets (doc_id, size, tokens, prefix), found block by block."""
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(token, doc_id) of every set's prefix."""
 
     def explode(batches):
         for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), np.uint64)[:p] for x, p in zip(batch.column(1), batch.column(2).to_pylist())]
-            if sets:
-                yield pa.record_batch({"token": pa.array(np.concatenate(sets).view(np.int64)), "doc_id": pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets]))})
+            heads = [np.frombuffer(x.as_buffer(), np.uint64)[:p] for x, p in zip(batch.column(1), batch.column(2).to_pylist())]
+            if heads:
+                yield pa.record_batch({"token": pa.array(np.concatenate(heads).view(np.int64)), "doc_id": pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in heads]))})
+
+    return sets.select("doc_id", "tokens", "prefix").mapInArrow(explode, "token long, doc_id long")
+
 
-    rows = alive.select("doc_id", "tokens", "prefix").mapInArrow(explode, "token long, doc_id long")
+def in_blocks(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets that share a token of rows (token, doc_id) with others, directly or through more, with their block."""
     pivots = rows.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
     pivots = pivots.select((F.col("token") + F.lit(0)).alias("key"), "pivot")
     stars = rows.join(pivots, rows.token == pivots.key).where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     blocks = runtime.written(components(stars.distinct(), "blocks"), "blocks")
-    sets = alive.join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-    mass = sets.groupBy("block").agg(F.sum(F.octet_length("tokens") / 8).alias("mass"))
-    parts = mass.select(F.col("block").alias("key"), F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int").alias("parts"), "mass")
-    total = mass.agg(F.sum("mass")).first()[0] or 0
-    bins = max(int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // BLOCK_SHINGLES) + 1)
-    sets = sets.join(parts, sets.block == parts.key)
-    # whole blocks share bins; the parts of a split block meet two by two
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    sets = sets.select("block", "doc_id", "size", "tokens", "prefix", "parts", part.alias("part"), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("int").alias("bin"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = sets.select("block", "doc_id", "size", "tokens", "prefix", F.when(F.col("parts") == 1, F.col("bin").cast("long")).otherwise(F.col("block")).alias("k0"), F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.least("part", "other")).alias("k1"), F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.greatest("part", "other")).alias("k2"))
+    return sets.join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
+
+
+def masses(sets: DataFrame) -> DataFrame:
+    return sets.groupBy(F.col("block").alias("key")).agg(F.sum(F.octet_length("tokens") / 8).alias("mass"))
+
+
+def forests(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of a spanning forest of each block's sets that share k0, k1 and k2."""
 
     def join(table: pa.Table) -> pa.Table:
         a, b = [], []
         block = table.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
         cut = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1))
-        ids, sizes, prefixes = (table.column(c).to_pylist() for c in ("doc_id", "size", "prefix"))
+        ids, sizes, prefixes_ = (table.column(c).to_pylist() for c in ("doc_id", "size", "prefix"))
         tokens = table.column("tokens")
         for i, j in zip(cut, [*cut[1:], len(order)]):
             rows_ = order[i:j].tolist()
             sets_ = [np.frombuffer(tokens[r].as_buffer(), np.uint64) for r in rows_]
-            for x, y in join_block([ids[r] for r in rows_], [sizes[r] for r in rows_], sets_, [prefixes[r] for r in rows_], percent):
+            for x, y in join_block([ids[r] for r in rows_], [sizes[r] for r in rows_], sets_, [prefixes_[r] for r in rows_], percent):
                 a.append(x)
                 b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.groupBy("k0", "k1", "k2").applyInArrow(runtime.lean(join), EDGES)
+    return sets.select("block", "doc_id", "size", "tokens", "prefix", "k0", "k1", "k2").groupBy("k0", "k1", "k2").applyInArrow(runtime.lean(join), EDGES)
+
+
+def tree_join(alive: DataFrame, percent: int) -> DataFrame:
+    """Links of a spanning forest of the sets (doc_id, size, tokens, prefix), found block by block."""
+    sets = in_blocks(alive, prefixes(alive))
+    mass = runtime.written(masses(sets), "masses")
+    total = mass.agg(F.sum("mass")).first()[0] or 0
+    bins = max(int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // BLOCK_SHINGLES) + 1)
+    sets = sets.join(mass, sets.block == mass.key)
+    # small blocks share bins
+    small = sets.where(F.col("mass") <= PART_SHINGLES).withColumns({"k0": F.pmod(F.xxhash64("block"), F.lit(bins)), "k1": F.lit(-1), "k2": F.lit(-1)})
+    links = forests(small, percent)
+    if mass.where(F.col("mass") > PART_SHINGLES).isEmpty():
+        return links
+    large = runtime.written(sets.where(F.col("mass") > PART_SHINGLES).drop("key", "mass"), "large")
+    return links.unionByName(join_large(large, percent))
+
+
+def join_large(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of large blocks: parts collapse to components, whose representatives are joined in turn; what is left are sets that share a prefix shingle with another component."""
+    links, current, before = None, sets, sets.count()
+    for salt in range(64):  # each round leaves half of the sets at most
+        size = masses(current)
+        parts = size.select("key", F.ceil(F.col("mass") / PART_SHINGLES).cast("int").alias("parts"))
+        parts = runtime.written(parts, "parts")
+        dealt = current.join(parts, current.block == parts.key).withColumns({"k0": F.col("block"), "k1": F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("parts")).cast("int"), "k2": F.lit(-2)})
+        found = runtime.written(forests(dealt, percent), "found")
+        links = found if links is None else links.unionByName(found)
+        nodes = runtime.written(components(links, "collapsed"), "nodes")
+        labelled = sets.join(nodes, sets.doc_id == nodes.id, "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id")
+        current = runtime.written(labelled.where("doc_id = component").drop("component"), "representatives")
+        left = current.count()
+        if 2 * left > before or parts.agg(F.max("parts")).first()[0] == 1:
+            break
+        before = left
+    # pairs that may still link are of different components and share a prefix shingle
+    owner = labelled.select(F.col("doc_id").alias("o"), F.col("component").alias("c")).distinct()
+    rows = prefixes(sets).join(owner, F.col("doc_id") == F.col("o"))
+    mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("m"))
+    rows = runtime.written(rows.join(mixed, F.col("token") == F.col("m"), "left_semi").select("token", "doc_id"), "mixed")
+    if rows.isEmpty():
+        return links
+    rest = in_blocks(sets.drop("block"), rows)
+    parts = masses(rest).select("key", F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    rest = rest.join(parts, rest.block == parts.key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # the parts of a block meet two by two
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.withColumns({"k0": F.col("block"), "k1": F.least("part", "other"), "k2": F.greatest("part", "other")})
+    return links.unionByName(forests(rest, percent))
 
 
 def op10_ngram_jaccard(spark, sf_dir):

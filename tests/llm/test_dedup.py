@@ -110,9 +110,10 @@ def test_jaccard_components(spark):
     assert ngram_jaccard.jaccard_components(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [ngram_jaccard.BLOCK_SHINGLES, 300])
+@pytest.mark.parametrize("limit", [(ngram_jaccard.PART_SHINGLES, ngram_jaccard.BLOCK_SHINGLES), (300, 300), (200, ngram_jaccard.BLOCK_SHINGLES)])
 def test_jaccard_near_copies_in_whole_and_split_blocks(spark, monkeypatch, limit):
-    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", limit)
+    monkeypatch.setattr(ngram_jaccard, "PART_SHINGLES", limit[0])
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", limit[1])
     rows = near_copies(1)
     out = ngram_jaccard.jaccard_components(frame(spark, rows))
     assert got(out, "doc_id", "n_shingles", "component_id") == in_order(brute_components(rows))
@@ -145,6 +146,16 @@ def test_hashes_tell_stretches_apart():
     assert a == b != c and (rolling.windows(3)[[0, 3, 6]] == [a, b, c]).all()
 
 
+def test_jaccard_of_chains_that_parts_break(spark, monkeypatch):
+    """Sets that link only to their neighbours in a chain, so that no part and no representative sees the whole."""
+    monkeypatch.setattr(ngram_jaccard, "PART_SHINGLES", 400)
+    ws = [f"w{i}" for i in range(400)]
+    rows = [(1000 - i, " ".join(ws[5 * i : 5 * i + 60])) for i in range(60)] + [(5, "common " * 3 + " ".join(ws[:5])), (6, " ".join(f"x{i}" for i in range(30)))]
+    out = ngram_jaccard.jaccard_components(frame(spark, rows))
+    wanted = in_order(brute_components(rows))
+    assert len({c for _, _, c in wanted}) == 3 and got(out, "doc_id", "n_shingles", "component_id") == wanted
+
+
 def test_jaccard_of_ids_with_several_texts(spark):
     rng = np.random.default_rng(2)
     say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
