@@ -90,13 +90,13 @@ def leaks(documents: DataFrame, items: DataFrame, *, percent: int = PERCENT, id_
     candidates = runtime.written(candidates.select("t1", "t2", "item_id", "it"), "candidates")
     texts = small(candidates.select("t1", "t2").distinct())
     suspects = keyed.join(texts, ["t1", "t2"], "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"])
-    found = suspects.select("t1", "t2", F.explode(F.expr(shingle_texts("text"))).alias("shingle"))
-    wanted = items.select("item_id", "it", F.expr(shingle_texts("text")).alias("s")).withColumnsRenamed({"item_id": "w_id", "it": "w_it"})
-    # each candidate asks for its item's shingles, so a shingle of many items costs nothing where they aren't candidates; null ids are ids like others
-    asked = candidates.join(small(runtime.written(wanted, "shingles")), (F.col("it") == F.col("w_it")) & F.col("item_id").eqNullSafe(F.col("w_id")))
-    asked = asked.select("t1", "t2", "item_id", "it", F.size("s").cast("long").alias("n_item_shingles"), F.explode("s").alias("shingle"))
-    shared = found.join(small(runtime.written(asked, "asked")), ["t1", "t2", "shingle"])
-    verified = shared.groupBy("t1", "t2", "item_id", "it").agg(F.max("n_item_shingles").alias("n_item_shingles"), F.count("*").alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item_shingles")
+    found = suspects.select("t1", "t2", F.expr(shingle_texts("text")).alias("have"))
+    wanted = items.select(F.col("item_id").alias("w_id"), F.col("it").alias("w_it"), F.expr(shingle_texts("text")).alias("want"))
+    # a candidate is a row with both sets, so a shingle of many items costs nothing where they aren't candidates; null ids are ids like others
+    asked = found.join(small(candidates), ["t1", "t2"])
+    asked = asked.join(small(runtime.written(wanted, "items")), (F.col("it") == F.col("w_it")) & F.col("item_id").eqNullSafe(F.col("w_id")))
+    counts = asked.select("t1", "t2", "item_id", "it", F.size("want").cast("long").alias("n_item_shingles"), F.size(F.array_intersect("have", "want")).cast("long").alias("n_shared"))
+    verified = counts.where(f"100 * n_shared >= {percent} * n_item_shingles")
     verified = runtime.written(verified, "verified")
     pairs = keyed.select("doc_id", "t1", "t2").join(small(verified.withColumnsRenamed({"t1": "v1", "t2": "v2"})), (F.col("t1") == F.col("v1")) & (F.col("t2") == F.col("v2")))
     return pairs.select("doc_id", "t1", "t2", "item_id", "n_item_shingles", "n_shared")
