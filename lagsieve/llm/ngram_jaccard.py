@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .components import EDGES, Forest, components
+from .decontamination import small
 
 SHINGLE, PERCENT = 5, 75
 BLOCK_SHINGLES, PART_SHINGLES = 4_000_000, 40_000
@@ -293,7 +294,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 def in_blocks(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """The sets that share a token of rows (token, doc_id) with others, directly or through more, with their block."""
     pivots = rows.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
-    pivots = pivots.select((F.col("token") + F.lit(0)).alias("key"), "pivot")
+    pivots = small(runtime.written(pivots.select((F.col("token") + F.lit(0)).alias("key"), "pivot"), "pivots"))
     stars = rows.join(pivots, rows.token == pivots.key).where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     blocks = runtime.written(components(stars.distinct(), "blocks"), "blocks")
     return sets.join(blocks.select(F.col("id").alias("doc_id"), F.col("component").alias("block")), "doc_id")
@@ -361,6 +362,7 @@ def join_large(sets: DataFrame, percent: int) -> DataFrame:
     owner = labelled.select(F.col("doc_id").alias("o"), F.col("component").alias("c")).distinct()
     rows = prefixes(sets).join(owner, F.col("doc_id") == F.col("o"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("token").alias("m"))
+    mixed = small(runtime.written(mixed, "tokens"))
     rows = runtime.written(rows.join(mixed, F.col("token") == F.col("m"), "left_semi").select("token", "doc_id"), "mixed")
     if rows.isEmpty():
         return links
