@@ -23,8 +23,9 @@ fewer words the whole sequence is the one shingle. Two documents link when
    collapses to its components; of each, one set goes on to the next round, so a
    large family is one component after a few rounds, wherever its sets lie.
    Then only sets are left to compare that share a prefix shingle with another
-   component. They make up blocks of their own; one over `BLOCK_SHINGLES` is
-   split into parts that meet two by two. No pair is left out.
+   component. They make up blocks of their own, in which parts of the largest
+   component meet all other sets, and those each other (over `BLOCK_SHINGLES`,
+   in parts that meet two by two). No pair of components is left out.
 5. The links' connected components, by distributed rounds.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a
@@ -331,10 +332,10 @@ def tree_join(alive: DataFrame, percent: int) -> DataFrame:
     mass = runtime.written(masses(sets), "masses")
     total = mass.agg(F.sum("mass")).first()[0] or 0
     bins = max(int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // BLOCK_SHINGLES) + 1)
-    sets = sets.join(mass, sets.block == mass.key)
+    sets = sets.join(small(mass), sets.block == mass.key)
     # small blocks share bins
-    small = sets.where(F.col("mass") <= PART_SHINGLES).withColumns({"k0": F.pmod(F.xxhash64("block"), F.lit(bins)), "k1": F.lit(-1), "k2": F.lit(-1)})
-    links = forests(small, percent)
+    little = sets.where(F.col("mass") <= PART_SHINGLES).withColumns({"k0": F.pmod(F.xxhash64("block"), F.lit(bins)), "k1": F.lit(-1), "k2": F.lit(-1)})
+    links = forests(little, percent)
     if mass.where(F.col("mass") > PART_SHINGLES).isEmpty():
         return links
     large = runtime.written(sets.where(F.col("mass") > PART_SHINGLES).drop("key", "mass"), "large")
@@ -348,7 +349,7 @@ def join_large(sets: DataFrame, percent: int) -> DataFrame:
         size = masses(current)
         parts = size.select("key", F.ceil(F.col("mass") / PART_SHINGLES).cast("int").alias("parts"))
         parts = runtime.written(parts, "parts")
-        dealt = current.join(parts, current.block == parts.key).withColumns({"k0": F.col("block"), "k1": F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("parts")).cast("int"), "k2": F.lit(-2)})
+        dealt = current.join(small(parts), current.block == parts.key).withColumns({"k0": F.col("block"), "k1": F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("parts")).cast("int"), "k2": F.lit(-2)})
         found = runtime.written(forests(dealt, percent), "found")
         links = found if links is None else links.unionByName(found)
         nodes = runtime.written(components(links, "collapsed"), "nodes")
@@ -366,13 +367,27 @@ def join_large(sets: DataFrame, percent: int) -> DataFrame:
     rows = runtime.written(rows.join(mixed, F.col("token") == F.col("m"), "left_semi").select("token", "doc_id"), "mixed")
     if rows.isEmpty():
         return links
-    rest = in_blocks(sets.drop("block"), rows)
-    parts = masses(rest).select("key", F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    rest = rest.join(parts, rest.block == parts.key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    # the parts of a block meet two by two
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = rest.withColumns({"k0": F.col("block"), "k1": F.least("part", "other"), "k2": F.greatest("part", "other")})
-    return links.unionByName(forests(rest, percent))
+    return links.unionByName(between_components(in_blocks(sets.drop("block"), rows), owner, percent))
+
+
+def between_components(sets: DataFrame, owner: DataFrame, percent: int) -> DataFrame:
+    """Links between sets of one block and different components (o, c): parts of each block's largest component meet all its other sets, and these meet each other."""
+    sets = runtime.written(sets.join(owner, F.col("doc_id") == F.col("o")).drop("o"), "rest")
+    mass = sets.groupBy("block", "c").agg(F.sum(F.octet_length("tokens") / 8).alias("m"))
+    size = mass.groupBy(F.col("block").alias("key")).agg(F.max_by("c", "m").alias("top"), F.max("m").alias("most"), F.sum("m").alias("all"))
+    many = lambda m, unit: F.greatest(F.ceil(m / unit), F.lit(1)).cast("int")
+    size = size.select("key", "top", many(F.col("most"), PART_SHINGLES).alias("parts"), many(F.col("all") - F.col("most"), BLOCK_SHINGLES).alias("others"))
+    size = small(runtime.written(size, "sizes"))
+    sets = sets.join(size, sets.block == size.key)
+    one = F.xxhash64("doc_id")
+    part, other = F.pmod(one, F.col("parts")).cast("int"), F.pmod(one, F.col("others")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    largest = sets.where("c = top").withColumns({"k0": F.col("block"), "k1": -1 - part}).withColumn("k2", upto("others"))
+    rest = sets.where("c <> top").withColumns({"k0": F.col("block"), "k2": other})
+    met = rest.withColumn("at", upto("parts")).withColumn("k1", -1 - F.col("at")).drop("at")
+    twice = rest.withColumn("with", upto("others")).withColumns({"k1": F.least("k2", "with"), "k2": F.greatest("k2", "with")}).drop("with")
+    columns = ("block", "doc_id", "size", "tokens", "prefix", "k0", "k1", "k2")
+    return forests(largest.select(*columns).unionByName(met.select(*columns)).unionByName(twice.select(*columns)), percent)
 
 
 def op10_ngram_jaccard(spark, sf_dir):
