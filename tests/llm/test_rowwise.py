@@ -175,3 +175,40 @@ def test_level_minimises_the_sum_of_squares():
 
 def test_registry_digests_of_no_spans(spark):
     assert hashlib.sha256(b"").hexdigest() == secret_scan.scan(frame(spark, [(1, "x")])).select(F.sha2(F.expr(secret_scan.joined("spans")), 256)).first()[0]
+
+
+def test_random_spans_against_brute_force(spark):
+    """Strings whose kind is known by how they were made, each a run by itself: random ones are found if their tokens say so, counted here."""
+    import base64
+    import random
+    import string
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(runtime.vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tokens = lambda s: len(plain.encode_ordinary(s))
+    rng = random.Random(11)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    words = "customer invoice download number account status order payment address total".split()
+    rows, wanted = [], {}
+    for d in range(120):
+        at, text, spans = 0, [], []
+        for _ in range(rng.randint(1, 6)):
+            kind = rng.choice(["mixed", "lower", "upper", "digest", "uuid", "snake", "short", "word"])
+            n = rng.randint(20, 60)
+            s = {
+                "mixed": some(string.ascii_letters + string.digits, n), "lower": some(string.ascii_lowercase, n), "upper": some(string.ascii_uppercase, n),
+                "digest": some("0123456789abcdef", rng.choice([32, 40, 64])), "uuid": "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+                "snake": "_".join(rng.choice(words) for _ in range(4)), "short": some(string.ascii_letters, 19), "word": rng.choice(words),
+            }[kind]
+            if kind in ("mixed", "lower", "upper") and len(s) < 2 * tokens(s):
+                spans.append((at, at + len(s)))
+            text.append(s)
+            at += len(s) + 1
+        rows.append((d, " ".join(text)))
+        wanted[d] = spans
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert found == wanted and sum(map(len, wanted.values())) > 100
