@@ -58,27 +58,32 @@ def let(value: str, name: str, body: str) -> str:
 
 
 def repeated_words(words: str, n: int = WINDOW) -> str:
-    """SQL: how many words of the array lie in n-word windows found twice or more, the first included."""
-    hashed = ", ".join(f"get(h, i + {k})" for k in range(n))
-    grams = f"array_sort(transform(sequence(0, size(h) - {n}), i -> struct(xxhash64({hashed}) AS g, i AS i)))"
-    twice = "array_sort(transform(filter(s, (x, k) -> (k > 0 AND get(s, k - 1).g = x.g) OR (k + 1 < size(s) AND get(s, k + 1).g = x.g)), x -> x.i))"
+    """SQL: how many words of the array lie in n-word windows found twice or more, the first included.
+
+    Only a text with a repeated window sorts its windows with their places.
+    """
+    grams, wide = "h", f"size(h) - {n - 1}"
+    for k in range(2, n + 1):
+        grams = f"zip_with(slice({grams}, 1, {wide}), slice(h, {k}, {wide}), (a, b) -> xxhash64(a, b))"
+    placed = "sort_array(transform(g, (x, i) -> struct(x AS g, i AS i)))"
+    twice = "sort_array(transform(filter(s, (x, k) -> get(s, k - 1).g = x.g OR get(s, k + 1).g = x.g), x -> x.i))"
     total = f"aggregate(p, struct({-n} AS last, 0L AS total), (a, i) -> struct(i AS last, a.total + least({n}, i - a.last) AS total), a -> a.total)"
-    body = let(grams, "s", let(twice, "p", total))
+    body = let(grams, "g", f"CASE WHEN size(array_distinct(g)) = size(g) THEN 0L ELSE {let(placed, 's', let(twice, 'p', total))} END")
     return f"CASE WHEN size({words}) < {n} THEN 0L ELSE {let(f'transform({words}, w -> xxhash64(w))', 'h', body)} END"
 
 
 def metrics(text: str) -> dict[str, str]:
     """SQL of every raw count, over columns _words and _lines made first."""
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop, longest = ", ".join(f"'{w}'" for w in STOP_WORDS), max(map(len, STOP_WORDS))
     return {
         "n_words": "CAST(size(_words) AS BIGINT)",
-        "word_chars": rf"CAST(length(regexp_replace({text}, '{_S}+', '')) AS BIGINT)",
+        "word_chars": "CAST(length(array_join(_words, '')) AS BIGINT)",
         "n_symbols": f"CAST(regexp_count({text}, '[#*$%&|<>]') AS BIGINT)",
         "n_dup_lines": "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)",
         "n_repeat_words": repeated_words("_words"),
         "n_lines": "CAST(size(_lines) AS BIGINT)",
-        "stop_words": f"CAST(size(filter(_words, w -> lower(w) IN ({stop}))) AS BIGINT)",
-        "n_shouted": r"CAST(size(filter(_words, w -> w RLIKE '!!$')) AS BIGINT)",
+        "stop_words": f"CAST(size(filter(_words, w -> length(w) <= {longest} AND lower(w) IN ({stop}))) AS BIGINT)",
+        "n_shouted": "CAST(size(filter(_words, w -> endswith(w, '!!'))) AS BIGINT)",
         "n_ellipsis_lines": r"CAST(size(filter(_lines, l -> l RLIKE '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')) AS BIGINT)",
         "n_bullet_lines": r"CAST(size(filter(_lines, l -> l RLIKE '^[\\x20\\x09]*[•*-]')) AS BIGINT)",
     }
