@@ -10,8 +10,8 @@ need be, into the gaps of the fullest, so that one window of a task at most has
 padding.
 
 Null and empty texts are a document of the end id alone. Repeated rows are
-packed once each. Other columns of the input are ignored. An empty table gives
-no rows. doc_id may be null and is passed on.
+packed once each. Very long texts are tokenised whole and cut into windows.
+Other columns of the input are ignored. An empty table gives no rows. doc_id may be null and is passed on.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ is kept if no base rule fails and every metric lies within its bounds.
 Null and empty texts have no words, fail the base rules and are not kept.
 Metrics of a text without words are 0. Repeated rows are judged one by one;
 other columns of the input, whatever their names, are ignored; an empty table
-gives no rows.
+gives no rows; very long texts are counted whole, as arrays within one row.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ by 32 bits and their bucket, which can only add lookups.
 
 Null and empty texts have no words and nothing removed. Rows with the same
 doc_id do not remove each other's words. Rows without a doc_id come after all
-others. Other columns are ignored; an empty table gives no rows.
+others. Other columns are ignored; an empty table gives no rows; very long
+texts are judged whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ owns the records that start inside its range, reading past its end where a
 record goes on. Members stand one behind another, so after the first valid
 one the next begins where it ends.
 
-A null html is an empty payload. Rows with the same page_id and payload are
+A null html is an empty payload; a very long one is one record, whatever range
+its end lies in. Rows with the same page_id and payload are
 written each, with the same type. A null page_id comes before all others and
 is passed on as null. An empty table gives no records. Other columns of the
 input are ignored. Files are reached through pyarrow's file systems (local,
