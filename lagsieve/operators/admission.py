@@ -88,8 +88,8 @@ def recall_curve(screened: DataFrame, certified: DataFrame, most: int) -> DataFr
     rows = screened.select("target", "source", "screen_rank").join(certified.select("target", "source", flag("e_certified").alias("hit")), ["target", "source"], "left")
     by = rows.groupBy("screen_rank").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("hits"), F.count("*").alias("n"))
     m = screened.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("m"))
-    out = m.join(F.broadcast(by), F.lit(True)).groupBy("m").agg(  # ranks by m: as many rows as ranks, each
-        F.sum(F.when(F.col("screen_rank") <= F.col("m"), F.col("hits")).otherwise(0)).alias("kept"), F.sum("hits").alias("total"),
-        F.sum(F.when(F.col("screen_rank") <= F.col("m"), F.col("n")).otherwise(0)).alias("probed"), F.sum("n").alias("pairs"),
-    )
+    # as many rows as ranks: running sums over them
+    upto, whole = W.orderBy(F.asc_nulls_last("m")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
+    ranks = m.join(by.select(F.col("screen_rank").cast("int").alias("m"), "hits", "n"), "m", "full").fillna(0, ["hits", "n"])
+    out = ranks.select("m", F.sum("hits").over(upto).alias("kept"), F.sum("hits").over(whole).alias("total"), F.sum("n").over(upto).alias("probed"), F.sum("n").over(whole).alias("pairs")).where((F.col("m") <= most) & (F.col("pairs") > 0))
     return out.select("m", "kept", "total", F.when(F.col("total") > 0, F.col("kept") / F.col("total")).otherwise(F.lit(float("nan"))).alias("recall"), (1 - F.col("probed") / F.col("pairs")).alias("reduction"))
