@@ -92,6 +92,7 @@ def signatures(documents: DataFrame, n: int = SHINGLE) -> DataFrame:
                 np.add.at(d1, owner, h)
                 np.add.at(d2, owner, runtime.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.bincount(owner, minlength=b - a), pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "n_shingles", "d1", "d2"])
+            batch = data = offsets = owner = h = None  # gone before the next one is read
             runtime.trim()
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")

@@ -27,6 +27,8 @@ from . import runtime
 WINDOW = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Bytes of text that are tokenised at a time.
+SLICE_BYTES = 1 << 20
 #: Words whose ids a worker remembers; then it starts anew.
 CACHE_WORDS = 450_000
 
@@ -170,6 +172,7 @@ def pack(documents: DataFrame, *, vocabulary: str = "word_bpe_49k.json", window:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
+        runtime.fresh("word tokenizers")
         state = runtime.worker_state("word tokenizers")
         if vocabulary not in state:
             state[vocabulary] = WordTokenizer(runtime.vocabulary(vocabulary))
@@ -185,12 +188,14 @@ def pack(documents: DataFrame, *, vocabulary: str = "word_bpe_49k.json", window:
 
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
-            _, offsets = runtime.text_arrays(texts)
-            for a, b in runtime.slices(offsets):
+            offsets = runtime.text_arrays(texts)[1]
+            for a, b in runtime.slices(offsets, SLICE_BYTES):
                 raw = [x.encode("utf-8") if x else b"" for x in texts.slice(a, b - a).to_pylist()]
                 for doc, ids in zip(docs[a:b], tokenizer(raw)):
                     packer.add(doc, ids + end)
                 yield from ready(2000)
+            batch = docs = texts = offsets = raw = None  # gone before the next one is read
+            runtime.trim()
         packer.close()
         yield from ready(0)
 

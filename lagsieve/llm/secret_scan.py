@@ -42,6 +42,8 @@ CAMEL = r"(?:[A-Z][a-z]{2,}){2,}"
 PART = rf"(?<![A-Za-z0-9]){UUID}(?![A-Za-z0-9])|[A-Za-z0-9]+"
 #: Letters of a word that must show by its tokens that it is one.
 LONG_WORD = 8
+#: Bytes of text that are scanned at a time.
+SLICE_BYTES = 1 << 19
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
@@ -132,9 +134,11 @@ class Scanner:
 
 def scan(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redact: str | None = None) -> DataFrame:
     """doc_id and its spans, by start and kind; with `redact`, also a struct `kept` of the columns of `keep`, where the text has each span replaced."""
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    others = [c for c in keep if c != text_col]  # the text goes to the workers and back once
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(others)])
 
     def run(batches):
+        runtime.fresh("secret scanners")
         state = runtime.worker_state("secret scanners")
         if (vocabulary, pattern, ratio) not in state:
             import public_tokenizers
@@ -145,7 +149,7 @@ def scan(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tiktoken", pat
         for batch in batches:
             texts = batch.column(1)
             data, offsets = runtime.text_arrays(texts)
-            for a, b in runtime.slices(offsets):
+            for a, b in runtime.slices(offsets, SLICE_BYTES):
                 found, changed = [[] for _ in range(b - a)], {}
                 for i in scanner.candidates(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).tolist():
                     text = texts[a + i].as_py() or ""
@@ -158,15 +162,18 @@ def scan(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k.tiktoken", pat
                     part = texts.slice(a, b - a)
                     if changed:
                         part = pa.array([changed.get(i, t) for i, t in enumerate(part.to_pylist())], texts.type)
-                    columns += [part, *[batch.column(2 + i).slice(a, b - a) for i in range(len(keep))]]
-                names = ["doc_id", "spans", "_text", *[f"_keep_{i}" for i in range(len(keep))]][: len(columns)]
+                    columns += [part, *[batch.column(2 + i).slice(a, b - a) for i in range(len(others))]]
+                names = ["doc_id", "spans", "_text", *[f"_keep_{i}" for i in range(len(others))]][: len(columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            batch = texts = data = offsets = columns = part = None  # gone before the next one is read
+            runtime.trim()
 
     if redact is None:
         return rows.select("doc_id", "_text").mapInArrow(run, SPANS)
-    schema = f"{SPANS}, _text string" + "".join(f", _keep_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    schema = f"{SPANS}, _text string" + "".join(f", _keep_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(others))
     out = rows.mapInArrow(run, schema)
-    return out.select("doc_id", "spans", F.struct(*[F.col("_text" if c == text_col else f"_keep_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept"))
+    place = {c: f"_keep_{i}" for i, c in enumerate(others)} | {text_col: "_text"}
+    return out.select("doc_id", "spans", F.struct(*[F.col(place[c]).alias(c) for c in keep]).alias("kept"))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:

@@ -53,6 +53,8 @@ DISCOUNT, STRENGTH, SHARED_DISCOUNT = 3, 2.0, 0.75
 MIX, SMOOTH_WORDS = 0.002, 20.0
 TABLE_ROWS, LABEL_ROWS, CURVE_ROWS = 2_000_000, 2_000_000, 20_000
 THRESHOLD = 0.7
+#: Bytes of text that are scored at a time: a worker's memory is some 25 times that beside its batch.
+SCORED_BYTES = 1 << 19
 COUNTS = ("a0", "a1", "b0", "b1")
 #: Which counts are ordinary and toxic: of both training folds, of the first, of the second.
 VARIANTS = ((("a0", "b0"), ("a1", "b1")), (("a0",), ("a1",)), (("b0",), ("b1",)))
@@ -209,15 +211,16 @@ def evidence(ratio: np.ndarray) -> np.ndarray:
     return np.logaddexp(math.log1p(-MIX), math.log(MIX) + ratio)
 
 
-def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None, held: list | None = None) -> DataFrame:
-    """The input's columns but for `text`, and one statistic a table (x0, x1, ...), or what the curve makes of it.
+def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None, held: list | None = None, text: bool = False) -> DataFrame:
+    """The input's columns (but for `text`, if it isn't asked for), and one statistic a table (x0, x1, ...), or what the curve makes of it.
 
     Tables of up to TABLE_ROWS are arrays on the executors; held gets their broadcast, for callers that know when it's used up.
     """
     rest = [c for c in documents.columns if c != "text"]
+    back = [*rest, *(["text"] if text else [])]
     rows = [t.count() for t in tables]
     if max(rows) > TABLE_ROWS:
-        return statistics_by_join(documents, tables, curve)
+        return statistics_by_join(documents, tables, curve, text)
     arrays = []
     for t in tables:
         got = t.toArrow()
@@ -233,21 +236,22 @@ def statistics(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.nd
         known = [Table(*x) for x in shared.value]
         for batch in batches:
             data, offsets = runtime.text_arrays(batch.column(batch.num_columns - 1))
-            for a, b in runtime.slices(offsets):
+            for a, b in runtime.slices(offsets, SCORED_BYTES):
                 words, inverse, first = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                columns = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i).slice(a, b - a) for i in range(len(back))]
                 for t in known:
                     sums = np.concatenate(([0.0], np.cumsum(evidence(t.of(words))[inverse])))
                     x = (sums[first[1:]] - sums[first[:-1]]) / (np.diff(first) + SMOOTH_WORDS)
                     columns.append(pa.array(np.interp(x, *curve) if curve else x))
-                yield pa.RecordBatch.from_arrays(columns, names=[*rest, *[f"x{i}" for i in range(len(known))]])
+                yield pa.RecordBatch.from_arrays(columns, names=[*back, *[f"x{i}" for i in range(len(known))]])
+            batch = data = offsets = words = inverse = first = columns = None  # gone before the next one is read
             runtime.trim()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text"), *(f"x{i} double" for i in range(len(tables)))])
+    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in back), *(f"x{i} double" for i in range(len(tables)))])
     return documents.select(*rest, "text").mapInArrow(run, schema)
 
 
-def statistics_by_join(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def statistics_by_join(documents: DataFrame, tables: list[DataFrame], curve: tuple[np.ndarray, np.ndarray] | None = None, text: bool = False) -> DataFrame:
     """The same for tables too large to broadcast: all distinct words are joined with the table, then the documents' words with them."""
     rest = [c for c in documents.columns if c != "text"]
 
@@ -278,7 +282,7 @@ def statistics_by_join(documents: DataFrame, tables: list[DataFrame], curve: tup
     numbered = runtime.written(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = runtime.written(numbered.select("_row", "text").mapInArrow(run, "row long, key long, word binary, n long"), "words")
     ways = runtime.written(found.groupBy("key").agg(F.first("word").alias("word")).mapInArrow(beginnings, "key long, size long, depth long, node long"), "beginnings")
-    out = numbered.drop("text").join(found.groupBy("row").agg(F.sum("n").alias("words")), F.col("_row") == F.col("row"), "left").drop("row")
+    out = numbered.drop(*([] if text else ["text"])).join(found.groupBy("row").agg(F.sum("n").alias("words")), F.col("_row") == F.col("row"), "left").drop("row")
     for i, t in enumerate(tables):
         hits = ways.join(t, "node").groupBy("key", "size").agg(F.sum("step").alias("step"), F.max_by("back", "depth").alias("back"), F.max("depth").alias("depth"))
         ratio = F.col("step") + F.when(F.col("depth") < F.col("size"), F.col("back")).otherwise(0.0)
@@ -286,7 +290,7 @@ def statistics_by_join(documents: DataFrame, tables: list[DataFrame], curve: tup
         out = out.join(sums, F.col("_row") == F.col("row"), "left").withColumn(f"x{i}", F.coalesce("s", F.lit(0.0)) / (F.coalesce("words", F.lit(0)) + SMOOTH_WORDS)).drop("row", "s")
         if curve:
             out = out.withColumn(f"x{i}", F.pandas_udf(lambda x: pd.Series(np.interp(x, *curve)), "double")(f"x{i}"))
-    return out.select(*rest, *[f"x{i}" for i in range(len(tables))])
+    return out.select(*rest, *(["text"] if text else []), *[f"x{i}" for i in range(len(tables))])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,9 +334,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         shared.destroy()
     x = np.where(points["fold"] == 0, points["x1"], points["x0"])  # by the other fold's counts
     curve = fit_curve(x.astype(float), points["toxic"].to_numpy().astype(float))
-    passed = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    scored = statistics(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *passed), tables[:1], curve)
-    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("x0").alias("score"), *([F.struct(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept")] if keep else []))
+    # a text that is kept goes to the workers and back once
+    place = {c: "text" if c == text_col and dict(documents.dtypes)[c] == "string" else f"_keep_{i}" for i, c in enumerate(keep)}
+    passed = [F.col(c).alias(p) for c, p in place.items() if p != "text"]
+    scored = statistics(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *passed), tables[:1], curve, text="text" in place.values())
+    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("x0").alias("score"), *([F.struct(*[F.col(place[c]).alias(c) for c in keep]).alias("kept")] if keep else []))
 
 
 def op7_toxicity(spark, sf_dir):

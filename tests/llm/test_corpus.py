@@ -232,3 +232,23 @@ def test_pipeline_drops_leaked_rows_without_an_id(spark, tmp_path):
     out = corpus_pipeline.decontamination_stage(spark, frame(spark, rows), str(tmp_path))
     assert got(out, "doc_id", "text") == in_order([rows[1], rows[2], rows[4]])
     assert out.columns == frame(spark, rows).columns
+
+
+def test_a_text_goes_to_the_workers_once_a_stage(spark, monkeypatch):
+    """A second copy of each text beside it took the executors of the redacting stage beyond their memory."""
+    docs, sent, real = frame(spark, [(1, "password = hunter2hunter2"), (2, "plain words")]), [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *rest: sent.append((self, schema)) or real(self, f, schema, *rest))
+    for stage in (corpus_pipeline.toxicity_stage, corpus_pipeline.secret_scan_stage):
+        sent.clear()
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        rows, schema = sent[-1]
+        assert [list(r).count("plain words") for r in rows.collect() if r["doc_id"] == 2] == [1], stage
+        assert out.columns == docs.columns and dict(got(out, "doc_id", "text"))[2] == "plain words"
+
+
+def test_a_worker_forgets_what_other_operators_left():
+    runtime.powers(7, 100)
+    runtime.worker_state("mine")["x"] = 1
+    tables = runtime.worker_state("tables")
+    runtime.fresh("mine")
+    assert runtime.worker_state("mine") == {"x": 1} and runtime.worker_state("tables") is tables and 7 not in runtime.worker_state("powers")
