@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import kernels as K
 from ..plans import splits as S
+from ..sources.sinks import file_system
 from . import ridge
 from .innovation import RidgeBase, innovation_of, innovations_p1
 from .lagged import within
@@ -17,8 +20,8 @@ from .probe import NAN, pairs
 from .series import Shared
 
 TOP = 4
-#: Channels a side of a block of pairs.
-BLOCK = 256
+#: Channels a side of a block of pairs; blocks of targets and of sources that a task takes.
+BLOCK, TARGETS, SOURCES = 256, 4, 64
 SCORES = "target int, source int, s_screen double, alpha_screen double, n_train_fit int, n_val_alpha int, n_cert int"
 
 
@@ -89,53 +92,147 @@ def scores_p1(lags: DataFrame, splits: S.Splits, alphas) -> DataFrame:
     return s.select(*keys, "alpha_screen", F.when(F.col("sst") <= 1e-12, F.lit(NAN)).otherwise(1 - F.col("sse") / F.when(F.col("sst") <= 1e-12, 1.0).otherwise(F.col("sst"))).alias("s_screen"))
 
 
-def wide_p1(lags: DataFrame, splits: S.Splits, alphas, *, top: int = TOP) -> DataFrame:
-    """(target, source, s_screen): scores_p1 of a wide, gap-free panel, for the `top` best sources of each target in each block of sources.
+def wide_p1(sums: DataFrame, splits: S.Splits, alphas, folder: str, *, top: int = TOP) -> DataFrame:
+    """(target, source, s_screen): scores_p1 of a wide panel, for the `top` best sources of each target in each run of SOURCES blocks.
 
-    Every pair is scored, by matrix products over blocks of targets and sources; a target's best of all are among the best of its blocks.
+    sums holds the panel's values (ch, t, v), zeros left out; a channel without any has one row with neither t nor v. Every pair is scored, by
+    matrix products over blocks of targets and sources. A block's residuals and lags are a file in `folder`, written once and read by the tasks
+    that need it, so nothing is shuffled a pair of blocks but the best scores. Scores that are equal in 12 digits are equal, and go by source.
     """
     roles = splits.roles()
-    first, end = roles["train_fit"].start, roles["cert"].end
-    resid = innovations_p1(lags, splits, alphas).select("ch", "u", F.col("resid").alias("v"), F.lit(0).alias("side"))
-    past = within(lags, S.Range(first, end)).select("ch", "u", F.col("x").alias("v"), F.lit(1).alias("side"))
-    whole = F.array_sort(F.collect_list(F.struct("u", "v")))
-    rows = resid.unionByName(past).groupBy("side", "ch").agg(whole.alias("r")).select("side", "ch", F.expr(f"CAST(ch DIV {BLOCK} AS INT)").alias("own"), F.col("r.u").alias("u"), F.col("r.v").alias("v"))
-    blocks = lags.select(F.expr(f"CAST(ch DIV {BLOCK} AS INT)").alias("other")).distinct()  # few next to the channels
-    tasks = rows.crossJoin(F.broadcast(blocks)).withColumns({"tb": F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")), "sb": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))})
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = (block[block["side"] == k] for k in (0, 1))
-        u = np.asarray(block["u"].iloc[0])
-        y, x = (np.stack(part["v"].to_numpy()).astype(float) for part in (left, right))
-        target, source = left["ch"].to_numpy(), right["ch"].to_numpy()
-        score = best_p1(y, x, {name: (u >= r.start) & (u < r.end) for name, r in roles.items()}, alphas)
-        score[target[:, None] == source[None, :]] = NAN
-        # larger first, then by source; NaN passes no screen
-        by_source = np.argsort(source)
-        order = by_source[np.argsort(np.where(np.isnan(score), np.inf, -score)[:, by_source], axis=1, kind="stable")[:, :top]]
-        out = pd.DataFrame({"target": np.repeat(target, order.shape[1]), "source": source[order].ravel(), "s_screen": np.take_along_axis(score, order, axis=1).ravel()})
-        return out[out["s_screen"].notna()]
-
-    return tasks.select("tb", "sb", "side", "ch", "u", "v").groupBy("tb", "sb").applyInPandas(run, "target int, source int, s_screen double")
-
-
-def best_p1(y: np.ndarray, x: np.ndarray, rows: dict[str, np.ndarray], alphas) -> np.ndarray:
-    """R2, against zero, of each row of y on each row of x over the cert columns: ridge on the fit columns, the first alpha of least error on the alpha columns."""
-    fit, val, cert = (rows[k] for k in ("train_fit", "val_alpha", "cert"))
-    sst = (y[:, cert] ** 2).sum(axis=1)
-    # about the fit's means, so that the intercept is nothing
-    y, x = y - y[:, fit].mean(axis=1, keepdims=True), x - x[:, fit].mean(axis=1, keepdims=True)
-    sxx, sxy = (x[:, fit] ** 2).sum(axis=1), y[:, fit] @ x[:, fit].T
+    until, first, end = splits.pre_test.end, max(roles["train_fit"].start, 1), roles["cert"].end
+    u = np.arange(first, end)
+    rows = {name: (u >= r.start) & (u < r.end) for name, r in roles.items()}
+    fit_end = splits.train_fit.start, splits.train_fit.end
+
+    def stored(table: pa.Table) -> pa.Table:
+        context = TaskContext.get()
+        block = int(table.column("block")[0].as_py())
+        path = f"{folder}/{block}-{context.taskAttemptId()}.arrow"
+        ch, v = dense(table, until)
+        z = scaled(v, *fit_end)
+        y, x = z[:, first:end], z[:, first - 1 : end - 1]
+        system, name = file_system(path)
+        system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        kind = pa.binary(8 * len(u))
+        held = pa.record_batch({"ch": pa.array(ch, pa.int32()), "y": packed(own_residuals(y, x, rows["train_fit"], alphas), kind), "x": packed(x, kind)})
+        with system.open_output_stream(name, compression=None) as out, pa.ipc.new_file(out, held.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as file:
+            file.write_batch(held)
+        return pa.table({"block": pa.array([block], pa.int32()), "path": [path]})
+
+    spark = sums.sparkSession
+    blocks = sums.select(F.expr(f"CAST(ch DIV {BLOCK} AS INT)").alias("block"), F.col("ch").cast("int").alias("ch"), F.col("t").cast("long").alias("t"), F.col("v").cast("double").alias("v"))
+    paths = [r["path"] for r in sorted(blocks.groupBy("block").applyInArrow(stored, "block int, path string").collect())]  # one row a block of channels
+    runs = -(-len(paths) // SOURCES)
+    n = -(-len(paths) // TARGETS) * runs
+
+    def loaded(path: str, column: str) -> tuple[np.ndarray, np.ndarray]:
+        system, name = file_system(path)
+        with system.open_input_file(name) as f:
+            table = pa.ipc.open_file(f, options=pa.ipc.IpcReadOptions(included_fields=[0, 1 if column == "y" else 2])).read_all().combine_chunks()
+        data = table.column(column).chunk(0)
+        return table.column("ch").to_numpy(), np.frombuffer(data.buffers()[1], np.float64).reshape(len(data), -1)
+
+    def run(batches):
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                a, b = task // runs * TARGETS, task % runs * SOURCES
+                own = [(ch, Part(v, rows), Best(ch, top)) for ch, v in (loaded(p, "y") for p in paths[a : a + TARGETS])]
+                for path in paths[b : b + SOURCES]:
+                    source, v = loaded(path, "x")
+                    x = Part(v, rows)
+                    for target, y, best in own:
+                        score = np.round(best_p1(y, x, alphas), 12)
+                        score[target[:, None] == source[None, :]] = NAN
+                        best.add(source, score)
+                for _, _, best in own:
+                    yield best.rows()
+
+    tasks = spark.range(0, n, 1, max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, n // 16))))
+    return tasks.mapInArrow(run, "target int, source int, s_screen double")
+
+
+def dense(table: pa.Table, until: int) -> tuple[np.ndarray, np.ndarray]:
+    """(channels in order, their values over [0, until)) of rows (ch, t, v); what is not there is 0."""
+    ch, which = np.unique(table.column("ch").to_numpy(), return_inverse=True)
+    t, v = (table.column(c).to_numpy() for c in ("t", "v"))
+    good = ~np.isnan(t.astype(float)) & (t < until) & np.array(table.column("v").is_valid())
+    out = np.zeros((len(ch), until))
+    out[which[good], t[good].astype(np.int64)] = v[good]
+    return ch, out
+
+
+def scaled(v: np.ndarray, start: int, end: int) -> np.ndarray:
+    """operators.scale of rows of values; a constant row's deviation is 0 exactly."""
+    base = v[:, start : start + 1]
+    mean = base + (v[:, start:end] - base).mean(axis=1, keepdims=True)
+    sd = np.sqrt(((v[:, start:end] - mean) ** 2).mean(axis=1, keepdims=True))
+    return (v - mean) / np.where(sd == 0, 1.0, sd)
+
+
+def own_residuals(y: np.ndarray, x: np.ndarray, fit: np.ndarray, alphas) -> np.ndarray:
+    """innovations_p1 of each row: what ridge on its own lag leaves, the first alpha of least GCV."""
+    a, b, n = y[:, fit], x[:, fit], int(fit.sum())
+    my, mx = a.mean(axis=1), b.mean(axis=1)
+    a, b = a - my[:, None], b - mx[:, None]
+    vy, vx, cxy = (a * a).mean(axis=1), (b * b).mean(axis=1), (a * b).mean(axis=1)
+    least, chosen = np.full(len(y), np.inf), np.zeros(len(y))
+    for alpha in alphas:
+        slope = n * cxy / (n * vx + alpha)
+        room = 1 - n * vx / (n * vx + alpha) / n
+        gcv = (vy - 2 * slope * cxy + slope * slope * vx) / (room * room)
+        better = gcv < least
+        least, chosen = np.where(better, gcv, least), np.where(better, slope, chosen)
+    return y - chosen[:, None] * x - (my - chosen * mx)[:, None]
+
+
+def packed(v: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Rows of doubles as one binary value each."""
+    return pa.Array.from_buffers(kind, len(v), [None, pa.py_buffer(np.ascontiguousarray(v))])
+
 
-    def sse(slope: np.ndarray, part: np.ndarray) -> np.ndarray:
-        a, b = y[:, part], x[:, part]
-        return (a * a).sum(axis=1)[:, None] - 2 * slope * (a @ b.T) + slope * slope * (b * b).sum(axis=1)
+class Part:
+    """Rows of a block about their fit means (so that an intercept is nothing), split by role, with their sums of squares; sst is that of the cert columns as they are."""
 
-    least, chosen_slope = np.full(sxy.shape, np.inf), np.zeros(sxy.shape)
+    def __init__(self, v: np.ndarray, rows: dict[str, np.ndarray]):
+        self.sst = (v[:, rows["cert"]] ** 2).sum(axis=1)
+        v = v - v[:, rows["train_fit"]].mean(axis=1, keepdims=True)
+        self.fit, self.val, self.cert = (np.ascontiguousarray(v[:, rows[k]]) for k in ("train_fit", "val_alpha", "cert"))
+        self.fit2, self.val2, self.cert2 = ((p * p).sum(axis=1) for p in (self.fit, self.val, self.cert))
+
+
+class Best:
+    """The best sources of each target of a block so far: larger scores first, then smaller sources, which must come in order. NaN passes no screen."""
+
+    def __init__(self, target: np.ndarray, top: int):
+        self.target, self.top = target, top
+        self.score, self.source = np.full((len(target), top), -np.inf), np.full((len(target), top), -1)
+
+    def add(self, source: np.ndarray, score: np.ndarray) -> None:
+        with np.errstate(invalid="ignore"):
+            at = np.flatnonzero((score > self.score[:, -1:]).any(axis=1))
+        if not len(at):
+            return
+        both = np.concatenate([self.score[at], np.where(np.isnan(score[at]), -np.inf, score[at])], axis=1)
+        names = np.concatenate([self.source[at], np.broadcast_to(source, (len(at), len(source)))], axis=1)
+        order = np.argsort(-both, axis=1, kind="stable")[:, : self.top]
+        self.score[at], self.source[at] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+    def rows(self) -> pa.RecordBatch:
+        good = np.isfinite(self.score)
+        return pa.record_batch({"target": pa.array(np.repeat(self.target, self.top)[good.ravel()], pa.int32()), "source": pa.array(self.source[good], pa.int32()), "s_screen": pa.array(self.score[good])})
+
+
+def best_p1(y: Part, x: Part, alphas) -> np.ndarray:
+    """R2, against zero, of each row of y on each row of x over the cert columns: ridge on the fit columns, the first alpha of least error on the alpha columns."""
+    sxy, val, cert = y.fit @ x.fit.T, y.val @ x.val.T, y.cert @ x.cert.T
+    least, chosen = np.full(sxy.shape, np.inf), np.zeros(sxy.shape)
     for alpha in alphas:
-        slope = sxy / (sxx + alpha)
-        error = sse(slope, val)
+        slope = sxy / (x.fit2 + alpha)
+        error = y.val2[:, None] - 2 * slope * val + slope * slope * x.val2
         better = error < least
-        least, chosen_slope = np.where(better, error, least), np.where(better, slope, chosen_slope)
-    safe = np.where(sst <= ridge.TINY, 1.0, sst)[:, None]
-    return np.where(sst[:, None] <= ridge.TINY, NAN, 1 - sse(chosen_slope, cert) / safe)
+        np.copyto(least, error, where=better)
+        np.copyto(chosen, slope, where=better)
+    safe = np.where(y.sst <= ridge.TINY, 1.0, y.sst)[:, None]
+    error = y.cert2[:, None] - 2 * chosen * cert + chosen * chosen * x.cert2
+    return np.where(y.sst[:, None] <= ridge.TINY, NAN, 1 - error / safe)

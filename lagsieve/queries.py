@@ -195,8 +195,7 @@ def queries() -> dict:
 
 def screen_users(spark: SparkSession, sf: str) -> DataFrame:
     """The wide panel: top sources of every user, by one lag."""
-    rows = L.pair_lags(Z.scaled(sources.users_hourly(spark, sf, HOURS), SPLITS))
-    return SC.ranked(SC.wide_p1(rows, SPLITS, ALPHAS)).where("passed_screen")
+    return SC.ranked(SC.wide_p1(sources.users_sums(spark, sf, HOURS), SPLITS, ALPHAS, sinks.scratch(spark, "screen-users"))).where("passed_screen")
 
 
 def certified_by_shift(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,9 +42,22 @@ def events_hourly(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFra
     return gridded(within_hours(rows, hours), 0, hours)
 
 
-def users_hourly(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
+def user_rows(spark: SparkSession, sf_dir: str, hours: int) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(hour("ts").alias("t"), F.lpad(F.col("user_id").cast("string"), 12, "0").alias("channel"), F.col("value").alias("v"))
-    return gridded(within_hours(rows, hours), 0, hours)
+    return within_hours(rows, hours)
+
+
+def users_hourly(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
+    return gridded(user_rows(spark, sf_dir, hours), 0, hours)
+
+
+def users_sums(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
+    """(ch, t, v): the panel of users_hourly without the zeros that fill it; a channel of nothing else has one row without t and v."""
+    # no name is empty, and nulls come first, too
+    rows = user_rows(spark, sf_dir, hours).withColumn("name", F.coalesce("channel", F.lit("")))
+    named = rows.select("name").distinct().withColumn("ch", (F.row_number().over(W.orderBy("name")) - 1).cast("int"))
+    sums = rows.groupBy("name", "t").agg(F.sum(F.when(F.col("channel").isNotNull(), F.col("v"))).alias("v")).where("t IS NOT NULL AND v IS NOT NULL")
+    return named.join(sums, "name", "left").select("ch", "t", "v")
 
 
 def daily(rows: DataFrame, day: str, channel: Column, value: str) -> DataFrame:

@@ -27,6 +27,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """(pyarrow's file system, path in it), for files that kernels write below a scratch folder."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def run_id(config: Config) -> str:
     return f"{config.dataset}_pl{config.pred_len}_{config.tier}_{config_hash(config)}"
 

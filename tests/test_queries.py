@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lagsieve import oracles
@@ -112,3 +113,22 @@ def test_stream_of_events(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(spark.table("sums").select("hour", "channel").collect()) == sorted(hourly.hourly_sums(events).select("hour", "channel").collect())
+
+
+def test_screen_users_shuffles_no_series_and_breaks_ties_by_source(spark, tmp_path):
+    """Copies of users are equal in score but for rounding, and go by source; tasks read blocks from the shared folder instead of shuffled copies of them."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    users = events.agg(F.max("user_id")).first()[0] + 1
+    copies = events.crossJoin(spark.range(40).select(F.col("id").alias("copy"))).withColumn("user_id", F.col("user_id") + F.col("copy") * users).drop("copy")
+    copies.write.parquet(str(tmp_path / "events.parquet"))
+    scores = SC.wide_p1(sources.users_sums(spark, str(tmp_path), core.HOURS), core.SPLITS, core.ALPHAS, str(tmp_path / "blocks"))
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    known = sources.users_sums(spark, SF, core.HOURS).select("ch").distinct().count()
+    mine = core.queries()["screen_users"](spark, str(tmp_path)).select("target", "source", "screen_rank").collect()
+    first = {r["target"]: r["source"] for r in core.queries()["screen_users"](spark, SF).where("screen_rank = 1").collect()}
+    best = {}
+    for r in mine:
+        best.setdefault(r["target"], {})[r["screen_rank"]] = r["source"]
+    assert len(best) == 40 * known
+    for target, ranks in best.items():
+        assert ranks == {k + 1: first[target % known] + k * known for k in range(4)}, target
